@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,22 +66,18 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         .agg(F.max_by("a", F.struct("n", "a")).alias("v")).first()["v"]
     )
     if top is not None:
-        reached = spark.createDataFrame([(top,)], "v long")
-        frontier, parts = reached, [reached]
-        done = False
+        frontier = scratch.write(spark.range(1).select(F.lit(top).alias("v")), "frontier")
+        parts, done = [frontier], False
         for _ in range(PEEL_ROUNDS):
             nearby = _both_ways(links).join(frontier.withColumnRenamed("v", "a"), "a", "left_semi")
-            known = parts[-1] if len(parts) == 1 else parts[-1].union(parts[-2])
             # a frontier's neighbours lie in the frontier, the one before, or beyond
-            fresh = nearby.select(F.col("b").alias("v")).distinct().join(known, "v", "left_anti")
-            frontier = scratch.write(fresh, "frontier")
+            known = reduce(DataFrame.union, parts[-2:])
+            frontier = scratch.write(nearby.select(F.col("b").alias("v")).distinct().join(known, "v", "left_anti"), "frontier")
             if frontier.isEmpty():
                 done = True
                 break
             parts.append(frontier)
-        peeled = parts[0]
-        for part in parts[1:]:
-            peeled = peeled.union(part)
+        peeled = scratch.write(reduce(DataFrame.union, parts), "peeled")
         named = peeled.select("v", F.lit(top).alias("to"))
         maps.append(named)
         if done:
@@ -99,6 +97,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         maps.append(to)
         links = scratch.write(_relabelled(links, to), "links")
 
+    # names are composed from the last, smallest round backwards, a small plan each
     label = None
     for to in reversed(maps):
         if label is None:
@@ -106,9 +105,8 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
             continue
         # a vertex of a later round is itself a name of this one
         passed = to.join(label.select(F.col("v").alias("to"), "label"), "to", "left")
-        label = passed.select("v", F.coalesce("label", "to").alias("label")).union(
-            label.join(to.select("v"), "v", "left_anti")
-        )
+        passed = passed.select("v", F.coalesce("label", "to").alias("label"))
+        label = scratch.write(passed.union(label.join(to.select("v"), "v", "left_anti")), "label")
     if label is None:
         return spark.createDataFrame([], "v long, label long")
     return label

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import batch_dedup, components, topn
+from sightline.llm import batch_dedup, components, mixing, packing, topn, truncation
 
 # fixed values of TESTDATA.md
 HIT_LIMITS = {"exact": 1.0, "altered": 0.75, "semantic": 0.55}
@@ -29,5 +29,41 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.match_groups(_read(spark, sf_dir, "hits"), HIT_LIMITS)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.oversized_documents(_read(spark, sf_dir, "documents"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(packing.pack_documents(_read(spark, sf_dir, "documents")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1].where("short").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated_documents(_read(spark, sf_dir, "documents"))
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_by_source(_read(spark, sf_dir, "documents"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}

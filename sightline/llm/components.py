@@ -78,7 +78,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
                 break
             parts.append(frontier)
         peeled = scratch.write(reduce(DataFrame.union, parts), "peeled")
-        named = peeled.select("v", F.lit(top).alias("to"))
+        named = scratch.write(peeled.select("v", F.lit(top).alias("to")), "named")
         maps.append(named)
         if done:
             # the whole component is peeled: one end inside means both are

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import batch_dedup, components, mixing, packing, topn, truncation
+from sightline.llm import batch_dedup, clusters, components, knn, mixing, packing, topn, truncation
 
 # fixed values of TESTDATA.md
+DINO_FLOOR, SSCD_FLOOR = 0.65, 0.75
 HIT_LIMITS = {"exact": 1.0, "altered": 0.75, "semantic": 0.55}
 
 
@@ -17,10 +18,25 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.similar_clusters(_read(spark, sf_dir, "query_files"), "entry_id", "dino_embedding", DINO_FLOOR)[0]
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.described_clusters(_read(spark, sf_dir, "query_files"), "entry_id", "dino_embedding", DINO_FLOOR)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_frames(_read(spark, sf_dir, "matched_frames")).select("video_hash", "match_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.similar_pairs(
+        _read(spark, sf_dir, "query_files"), "entry_id",
+        {"dino_embedding": DINO_FLOOR, "sscd_embedding": SSCD_FLOOR}, {"dino_embedding": "dino", "sscd_embedding": "sscd"},
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_dedup.repeated_records(_read(spark, sf_dir, "file_records"))
 

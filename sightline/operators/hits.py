@@ -64,10 +64,10 @@ def merge_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     return merged.join(_mode_maxima(hits, keys), keys, "left")
 
 
-def unify_key() -> Column:
-    """Case and reference hits of one path or video stay apart."""
+def unify_key(base: str) -> Column:
+    """Case and reference hits of one path or video (column ``base``) stay apart."""
     side = F.when(F.coalesce("is_reference", F.lit(False)), "ref").otherwise("case")
-    return F.concat(side, F.lit(":"), F.coalesce("video_path", "path"))
+    return F.concat(side, F.lit(":"), F.col(base))
 
 
 def _best_other(scores: Column) -> Column:
@@ -77,7 +77,7 @@ def _best_other(scores: Column) -> Column:
 def rank_unified(hits: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """Exact hits first, then the best other score down, then path: adds ``rnk``."""
     order = Window.partitionBy(*keys).orderBy(
-        F.when(F.map_contains_key("scores", F.lit("exact")), 0).otherwise(1), F.desc(_best_other(F.col("scores"))), "path")
+        F.when(F.map_contains_key("scores", F.lit("exact")), 0).otherwise(1), F.desc(_best_other(F.col("scores"))), "path", "is_reference")
     ranked = hits.withColumn("rnk", F.row_number().over(order))
     return ranked if limit is None else ranked.where(F.col("rnk") <= limit)
 

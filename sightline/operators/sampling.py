@@ -84,5 +84,5 @@ def pixel_hash(width: Column | str, height: Column | str, rgb: Column | str) ->
 
 def idle_sessions(events: DataFrame, session: str, at: str, now: Column, ttl_seconds: int) -> DataFrame:
     """Sessions whose last event is more than ``ttl_seconds`` before ``now`` (strictly)."""
-    last = events.where(F.col(session).isNotNull()).groupBy(session).agg(F.max(at).alias("last_access"))
+    last = events.where(F.col(session).isNotNull()).groupBy(session).agg(F.max(F.col(at).cast("timestamp")).alias("last_access"))
     return last.where(F.unix_micros(now) - F.unix_micros("last_access") > ttl_seconds * 1_000_000)

@@ -7,7 +7,7 @@ SQL: dict[str, str] = {
         WITH scored AS (
             SELECT lower(regexp_replace(video_hash, '^\\s+|\\s+$', '', 'g')) AS video_hash, match_id,
                    coalesce(timecode_ms, 0) AS tc,
-                   list_max(list_filter(map_values(scores), x -> x IS NOT NULL AND NOT isnan(x))) AS score
+                   list_max(list_filter(map_values(scores), lambda x: x IS NOT NULL AND NOT isnan(x))) AS score
             FROM matched_frames),
         once AS (
             SELECT DISTINCT video_hash, match_id, tc, score FROM scored

@@ -77,9 +77,10 @@ def top_k(queries: DataFrame, points: DataFrame, query_id: str, query_vector: st
     """The ``k`` best points of each query with cosine of at least ``floor``: ``(query_id, rnk, point_id, score)``.
 
     Threshold and limit hold together.  Ties go to the smaller point id; scores
-    are compared at 12 digits so that the order of summing does not decide.
+    are compared at 9 digits so that neither the order of summing nor the
+    guard in the denominator decides.
     """
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "point_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "point_id")
     found = scores(queries, points, query_id, query_vector, point_id, vector, floor, k)
     return found.withColumn("rnk", F.row_number().over(best)).where(F.col("rnk") <= k).select("query_id", "rnk", "point_id", "score")
 

@@ -20,7 +20,7 @@ def _top_sql(column: str, floor: float, k: int) -> str:
     return f"""WITH {POINTS}, s AS (
         SELECT q.point_id AS query_id, p.point_id, {cos} AS score FROM points q, points p WHERE q.point_id % 100 = 0)
     SELECT query_id, rnk::INT AS rnk, point_id, round(score, 6) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, point_id) AS rnk FROM s WHERE score >= {floor}) WHERE rnk <= {k}"""
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rnk FROM s WHERE score >= {floor}) WHERE rnk <= {k}"""
 
 
 QUERIES["semantic_topk"] = _top("dino", op.SEMANTIC_FLOOR, 10)
@@ -38,7 +38,7 @@ QUERIES["reference_overlay"] = reference_overlay
 SQL["reference_overlay"] = f"""WITH {POINTS}, s AS (
     SELECT q.point_id AS query_id, p.point_id, p.is_reference, {DOT.format(a='q.dino', b='p.dino')} AS score FROM points q, points p WHERE q.point_id % 100 = 0)
 SELECT query_id, rnk::INT AS rnk, point_id, round(score, 6) AS score, is_reference FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id, is_reference ORDER BY round(score, 12) DESC, point_id) AS rnk FROM s WHERE score >= 0.2) WHERE rnk <= 5"""
+    SELECT *, row_number() OVER (PARTITION BY query_id, is_reference ORDER BY round(score, 9) DESC, point_id) AS rnk FROM s WHERE score >= 0.2) WHERE rnk <= 5"""
 
 
 def exact_images(spark, d):

@@ -137,12 +137,12 @@ SELECT video, target_ms, CASE WHEN here > 61000 AND before IS NOT NULL THEN befo
 
 def idle_sessions(spark, d):
     e = table(spark, d, "events")
-    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    now = F.lit("2024-01-29 00:00:00").cast("timestamp")
     return sampling.idle_sessions(e, "user_id", "ts", now, 3600)
 
 
 QUERIES["idle_sessions"] = idle_sessions
-SQL["idle_sessions"] = "SELECT user_id, max(ts) AS last_access FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING TIMESTAMP '2024-01-15 00:00:00' - max(ts)::TIMESTAMP > INTERVAL 3600 SECOND"
+SQL["idle_sessions"] = "SELECT user_id, max(ts) AS last_access FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING TIMESTAMP '2024-01-29 00:00:00' - max(ts)::TIMESTAMP > INTERVAL 3600 SECOND"
 
 
 def geometry(spark, d):

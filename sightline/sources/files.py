@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,20 @@ from sightline.functions.media import extension, file_type
 CHUNK = 1 << 20
 
 
-def scan(spark: SparkSession, root: str, heif: bool = True) -> DataFrame:
-    """``(path, ext, file_type, mtime, size)`` of every file below ``root``; contents are not read."""
+def scan(spark: SparkSession, root: str, heif: bool = True, with_empty: bool = True) -> DataFrame:
+    """``(path, ext, file_type, mtime, size)`` of every file below ``root``; contents are not read.
+
+    The source passes over files of length 0.  ``with_empty`` adds them, without
+    a time, from the file listing that the driver makes in any case.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^file:(//)?", "")
-    return files.select(path.alias("path"), extension("path").alias("ext"), file_type("path", heif).alias("file_type"),
-                        F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    plain = lambda c: F.regexp_replace(c, "^file:(//)?", "")
+    found = files.select(plain("path").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    if with_empty:
+        listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").select(plain("path").alias("path"))
+        empty = listed.join(found.select("path"), "path", "left_anti")
+        found = found.union(empty.select("path", F.lit(None).cast("timestamp"), F.lit(0).cast("bigint")))
+    return found.select("path", extension("path").alias("ext"), file_type("path", heif).alias("file_type"), "mtime", "size")
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,7 +54,8 @@ def hashed(files: DataFrame) -> DataFrame:
 
 
 def hashed_content(spark: SparkSession, root: str) -> DataFrame:
-    """The same from file contents read by Spark, for stores without local paths (files below 2 GiB)."""
+    """The same from file contents read by Spark, for stores without local paths (files below 2 GiB,
+    none of length 0)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sightline.session import Scratch
 
 # strongest rotated coordinates that a vector is filed under
-CELLS_PER_VECTOR = 6
+CELLS_PER_VECTOR = 8
 # rotations grow with the square root of the entries: a cell's entries grow no faster
 ENTRIES_PER_SQUARED_ROTATION = 6000
 # entries of a cell that one task compares; larger cells are cut into pairs of blocks

@@ -40,7 +40,8 @@ NEVER_USES, NEVER_SHARE = 500, 0.002
 # a limit: so many texts with the marker, and that share of them, have one length
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.25
 # shorter texts without a closing mark are titles, in sources where that share of the texts closes
-TITLE_CHARS, CLOSED_SHARE = 40, 0.5
+# and their last word ends a text in that share of its uses
+TITLE_CHARS, CLOSED_SHARE, TITLE_SHARE = 48, 0.5, 0.02
 # longer words (encoded data) are no fragments of others
 WORD_CHARS = 64
 
@@ -163,8 +164,8 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     )
     never = (F.col("uses") >= NEVER_USES) & (F.col("ends") < NEVER_SHARE * F.col("uses"))
     fragment = F.col("longer_uses") >= FRAGMENT * F.col("uses")
-    title = (F.col("chars") < TITLE_CHARS) & (F.col("closed") >= CLOSED_SHARE * F.col("texts")) & ~fragment & F.col("last").rlike(r"[\p{L}\p{N}]")
-    broken = F.when(F.col("last") == "�", True).when(F.col("closes"), never | (fragment & (F.col("last") == "."))).otherwise(~ends_texts & ~title & ~F.coalesce(signed, F.lit(False)))
+    title = (F.col("chars") < TITLE_CHARS) & (F.col("closed") >= CLOSED_SHARE * F.col("texts")) & ~fragment & F.col("last").rlike(r"[\p{L}\p{N}]") & (F.col("ends") >= TITLE_SHARE * F.col("uses"))
+    broken = F.when(F.col("last") == "�", True).when(F.col("closes") | F.coalesce("usual", F.lit(False)), never | (fragment & (F.col("last") == "."))).otherwise(~ends_texts & ~title & ~F.coalesce(signed, F.lit(False)))
     inside = F.col("last").rlike(r"[\p{L}\p{N}]") & F.coalesce(F.col("goes_on").rlike(r"[\p{L}\p{N}]"), F.lit(False))
     return (
         slim.join(stats, ["source", "word"]).join(sizes, "source").join(lines, ["source", "line"], "left").join(marks, ["source", "last"], "left")

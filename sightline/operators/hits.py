@@ -33,15 +33,16 @@ def group_video_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     """
     by = [*keys, "video_path"]
     ranked = hits.withColumn("best", best_score("scores"))
+    flag = [] if "is_reference" in keys else [F.bool_or(F.coalesce("is_reference", F.lit(False))).alias("is_reference")]
     groups = ranked.groupBy(*by).agg(
         F.max_by(F.struct("path", "image_hash", "frame_timecode_ms"), F.struct("best", -F.col("ord"))).alias("top"),
         F.sort_array(F.collect_list(F.struct(
             F.coalesce("frame_timecode_ms", F.lit(0).cast("bigint")).alias("timecode_ms"), "ord",
             F.coalesce("image_hash", F.lit("")).alias("frame_hash"), F.map_entries("scores").alias("scores")))).alias("matched_frames"),
-        F.bool_or(F.coalesce("is_reference", F.lit(False))).alias("is_reference"), F.min("ord").alias("ord"),
+        *flag, F.min("ord").alias("ord"),
     )
     return groups.join(_mode_maxima(hits, by), by, "left").select(
-        *by, "top.path", "top.image_hash", "top.frame_timecode_ms", "matched_frames", "is_reference", "ord", "scores")
+        *dict.fromkeys([*by, "top.path", "top.image_hash", "top.frame_timecode_ms", "matched_frames", "is_reference", "ord", "scores"]))
 
 
 def merge_hits(hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from sightline.functions.media import best_score
 from sightline.operators import hits as op
-from sightline.plans.views import FRAMES, frames, score_map, table
+from sightline.operators import session_search
+from sightline.plans.search import DOT
+from sightline.plans.views import FRAMES, LIBRARY, frames, library, score_map, session, table
 
 QUERIES, SQL = {}, {}
 
@@ -89,3 +91,51 @@ SELECT *, (row_number() OVER (PARTITION BY query_path ORDER BY CASE mode WHEN 'e
 
 QUERIES["best_scores"] = lambda spark, d: table(spark, d, "hits").select("hit_id", F.coalesce(best_score("scores"), F.lit(0.0)).alias("best"))
 SQL["best_scores"] = "SELECT hit_id, coalesce(list_max(list_filter(map_values(scores), lambda x: x IS NOT NULL AND NOT isnan(x))), 0) AS best FROM hits"
+
+
+def _session(unify: bool):
+    def query(spark, d):
+        files, vectors = session(spark, d)
+        return session_search.run(files, vectors, library(spark, d), unify=unify, include_reference=True)
+
+    return query
+
+
+def session_search_unified(spark, d):
+    found = _session(True)(spark, d)
+    return found.select("file_id", "hit_key", "is_reference", "rnk", *[F.round(F.element_at("scores", F.lit(m)), 6).alias(m) for m in ("exact", "altered", "semantic")])
+
+
+_SEARCHED = f"""{LIBRARY}, q AS (SELECT entry_id AS file_id, l.*, q0.is_video, q0.error, q0.file_hash FROM query_files q0 JOIN library l ON l.point_id = entry_id WHERE entry_id % 100 = 0),
+s AS (SELECT q.file_id, p.point_id, p.is_reference, 'altered' AS mode, {DOT.format(a='q.sscd', b='p.sscd')} AS score FROM q, library p WHERE q.sscd IS NOT NULL AND p.sscd IS NOT NULL AND q.error IS NULL
+    UNION ALL SELECT q.file_id, p.point_id, p.is_reference, 'semantic', {DOT.format(a='q.dino', b='p.dino')} FROM q, library p WHERE q.dino IS NOT NULL AND p.dino IS NOT NULL AND q.error IS NULL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, mode, is_reference ORDER BY round(score, 9) DESC, point_id) AS r FROM s
+    WHERE score >= CASE mode WHEN 'altered' THEN 0.75 ELSE 0.55 END) WHERE r <= 10),
+raw AS (SELECT top.file_id, top.mode, score, top.is_reference, path, coalesce(video_path, path) AS base, point_id FROM top JOIN (SELECT point_id, path, video_path FROM library) USING (point_id)),
+exact AS (SELECT file_id, path AS base FROM (SELECT DISTINCT q.file_id, p.path, dense_rank() OVER (PARTITION BY q.file_id ORDER BY p.path) AS r
+        FROM q JOIN library p ON p.image_hash = q.file_hash WHERE NOT q.is_video AND NOT p.is_reference AND q.error IS NULL) WHERE r <= 50
+    UNION ALL SELECT DISTINCT q.file_id, p.video_path FROM q JOIN library p ON p.video_hash = q.file_hash WHERE q.is_video AND NOT p.is_reference AND q.error IS NULL)"""
+QUERIES["session_search"] = session_search_unified
+SQL["session_search"] = f"""WITH {_SEARCHED}, u AS (
+    SELECT file_id, base, false AS is_reference, 1.0::DOUBLE AS exact, NULL::DOUBLE AS altered, NULL::DOUBLE AS semantic, base AS path, 0 AS ord FROM exact
+    UNION ALL SELECT file_id, base, is_reference, NULL, CASE WHEN mode = 'altered' THEN score END, CASE WHEN mode = 'semantic' THEN score END, NULL, 1 FROM raw),
+m AS (SELECT file_id, base, is_reference, max(exact) AS exact, max(altered) AS altered, max(semantic) AS semantic FROM u GROUP BY ALL),
+g AS (SELECT file_id, base, is_reference, path, max(score) AS best FROM raw GROUP BY ALL),
+f AS (SELECT file_id, base, is_reference, arg_min(path, (-best, path)) AS path FROM (SELECT g.*, (SELECT min(r.point_id) FROM raw r WHERE r.path = g.path) AS pid FROM g) GROUP BY ALL),
+k AS (SELECT m.*, CASE WHEN exact IS NOT NULL THEN base ELSE f.path END AS path FROM m LEFT JOIN f USING (file_id, base, is_reference)),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN exact IS NULL THEN 1 ELSE 0 END, coalesce(greatest(altered, semantic), 0) DESC, path, is_reference) AS rnk FROM k)
+SELECT file_id, CASE WHEN r.is_reference THEN 'ref' ELSE 'case' END || ':' || base AS hit_key, r.is_reference, rnk::INT AS rnk,
+    round(exact, 6) AS exact, round(altered, 6) AS altered, round(semantic, 6) AS semantic
+FROM r JOIN q USING (file_id) WHERE q.is_video OR rnk <= 10"""
+
+
+def session_search_by_mode(spark, d):
+    found = _session(False)(spark, d)
+    return found.select("file_id", F.coalesce("video_path", "path").alias("base"), "is_reference", "mode", F.round("score", 6).alias("score"))
+
+
+QUERIES["session_search_by_mode"] = session_search_by_mode
+SQL["session_search_by_mode"] = f"""WITH {_SEARCHED}
+SELECT file_id, base, false AS is_reference, 'exact' AS mode, 1.0::DOUBLE AS score FROM exact
+UNION ALL SELECT file_id, base, is_reference, mode, round(max(score), 6) FROM raw JOIN (SELECT point_id, video_path FROM library) USING (point_id) WHERE video_path IS NOT NULL GROUP BY file_id, base, is_reference, mode
+UNION ALL SELECT file_id, base, is_reference, mode, round(score, 6) FROM raw JOIN (SELECT point_id, video_path FROM library) USING (point_id) WHERE video_path IS NULL"""

@@ -31,6 +31,40 @@ POINTS = """points AS (
     FROM embeddings)"""
 
 
+def _usable(column: str) -> F.Column:
+    """The vector where it has 128 finite values that are not all zero."""
+    good = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(column, lambda x: x != 0)
+    return F.when((F.size(column) == 128) & good, F.col(column))
+
+
+def library(spark: SparkSession, d: str) -> DataFrame:
+    """The uploaded entries as an indexed collection; videos of a session are frames of one video."""
+    video = F.col("is_video")
+    return table(spark, d, "query_files").select(
+        F.col("entry_id").alias("point_id"), F.col("filename").alias("path"), F.col("file_hash").alias("image_hash"), video.alias("is_video_frame"),
+        F.when(video, F.col("session_id")).alias("video_path"), F.when(video, F.col("file_hash")).alias("video_hash"), (F.col("entry_id") * 1000).alias("frame_timecode_ms"),
+        (F.col("entry_id") % 5 == 0).alias("is_reference"), _usable("dino_embedding").alias("dino"), _usable("sscd_embedding").alias("sscd"))
+
+
+LIBRARY = """library AS (
+    SELECT entry_id AS point_id, filename AS path, file_hash AS image_hash, is_video AS is_video_frame, CASE WHEN is_video THEN session_id END AS video_path,
+           CASE WHEN is_video THEN file_hash END AS video_hash, entry_id * 1000 AS frame_timecode_ms, entry_id % 5 = 0 AS is_reference,
+           CASE WHEN len(dino_embedding) = 128 AND len(list_filter(dino_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 128
+                AND len(list_filter(dino_embedding, lambda x: x <> 0)) > 0 THEN dino_embedding::DOUBLE[] END AS dino,
+           CASE WHEN len(sscd_embedding) = 128 AND len(list_filter(sscd_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 128
+                AND len(list_filter(sscd_embedding, lambda x: x <> 0)) > 0 THEN sscd_embedding::DOUBLE[] END AS sscd
+    FROM query_files)"""
+
+
+def session(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stated query set - entries whose id is divisible by 100 - as files and query vectors."""
+    q = table(spark, d, "query_files").where(F.col("entry_id") % 100 == 0)
+    files = q.select(F.col("entry_id").alias("file_id"), "is_video", "error", "file_hash", "file_hash_md5")
+    one = lambda mode, c, at: q.select((F.col("entry_id") * 2 + at).alias("q_id"), F.col("entry_id").alias("file_id"), F.lit(mode).alias("mode"),
+                                       F.when(F.col("is_video"), F.col("entry_id") * 10).alias("query_timecode_ms"), _usable(c).alias("vec")).where("vec is not null")
+    return files, one("altered", "sscd_embedding", 0).unionByName(one("semantic", "dino_embedding", 1))
+
+
 def query_points(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: every point whose id is divisible by 100."""
     return points(spark, d).where(F.col("point_id") % 100 == 0)

@@ -13,6 +13,7 @@ at which the texts with that marker pile up, which is the source's limit.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +43,9 @@ LIMIT_TEXTS, LIMIT_SHARE = 3, 0.25
 # shorter texts without a closing mark are titles, in sources where that share of the texts closes
 # and their last word ends a text in that share of its uses
 TITLE_CHARS, CLOSED_SHARE, TITLE_SHARE = 48, 0.5, 0.02
-# longer words (encoded data) are no fragments of others
+# words that a task counts before it passes them on
+HELD_WORDS = 200_000
+# longer words (encoded data) have no fragments, nor have words used once
 WORD_CHARS = 64
 
 
@@ -85,16 +88,39 @@ def longer_copies(bodies: DataFrame) -> DataFrame:
     return seen.where("kind = 0").select("h1", "h2", "goes_on").union(across)
 
 
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of texts with their uses and text ends, counted per task before anything is shuffled."""
+    digits = bytes.maketrans(b"123456789", b"000000000")
+    uses: dict[str, Counter] = {}
+    ends: dict[str, Counter] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = [(s, w.decode(), n, ends[s][w]) for s, ws in uses.items() for w, n in ws.items()]
+        uses.clear()
+        ends.clear()
+        names = ["source", "word", "uses", "ends"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    for batch in batches:
+        for source, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            # bytes are split at ASCII white space only, as the last word is found
+            words = body.encode().translate(digits).split()
+            if words:
+                uses.setdefault(source, Counter()).update(words)
+                ends.setdefault(source, Counter())[words[-1]] += 1
+        if sum(map(len, uses.values())) > HELD_WORDS:
+            yield flush()
+    if uses:
+        yield flush()
+
+
 def _word_stats(texts: DataFrame, lasts: DataFrame) -> DataFrame:
-    """Uses, line ends and longer words of the words in ``lasts(source, word)``."""
-    words = texts.select("source", F.split(F.regexp_replace("body", "[0-9]", "0"), r"\s+").alias("ws"))
-    flagged = words.select("source", F.posexplode("ws").alias("i", "word"), (F.size("ws") - 1).alias("at"))
-    counts = (
-        flagged.where("word <> '' and word is not null").groupBy("source", "word")
-        .agg(F.count("*").alias("uses"), F.count_if(F.col("i") == F.col("at")).alias("ends"))
-    )
+    """Uses, text ends and longer words of the words in ``lasts(source, word)``."""
+    counted = texts.select("source", "body").mapInArrow(_words_of, "source string, word string, uses long, ends long")
+    counts = counted.groupBy("source", "word").agg(F.sum("uses").alias("uses"), F.sum("ends").alias("ends"))
     counts = Scratch(texts.sparkSession).write(counts, "words")
-    short = counts.where(F.length("word") <= WORD_CHARS)
+    short = counts.where((F.length("word") <= WORD_CHARS) & (F.col("uses") > 1))
     begun = short.select(
         "source", "uses",
         F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.struct(
@@ -125,7 +151,7 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     known = texts.where("body <> ''").select(
         "doc_id", "source", "body", "chars", "bytes", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("b"), "body").alias("h2"),
         F.regexp_extract("body", MARKER, 0).alias("marker"),
-        F.regexp_replace(F.regexp_extract("body", r"(\S+)$", 1), "[0-9]", "0").alias("word"),
+        F.translate(F.regexp_extract("body", r"(\S+)$", 1), "123456789", "000000000").alias("word"),
         F.when(F.col("body").rlike(r"\n\s*\S+(?: \S+){0,4}$"), F.regexp_replace(F.regexp_extract("body", r"([^\n]*)$", 1), "[0-9]", "0")).alias("line"),
         closed.rlike(CLOSING).alias("closes"), F.substring("body", -1, 1).alias("last"),
     )

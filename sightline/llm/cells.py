@@ -26,11 +26,18 @@ ENTRIES_PER_SQUARED_ROTATION = 6000
 BLOCK = 16384
 # cell loads are estimated on about this many entries (they only set the number of blocks)
 LOAD_SAMPLE = 20_000
+# values of a matrix that a worker holds at once
+MATRIX_VALUES = 4_000_000
 # error bounds are so many times the code's standard error
 EPS = 2.0
 SEED = 20_24
 
 
+def rows_at_once(width: int) -> int:
+    """Rows of a matrix of ``width`` columns that are computed together: bounds a worker's memory."""
+    return max(32, min(1024, MATRIX_VALUES // max(1, width)))
+
+
 def rotations_for(entries: int) -> int:
     return max(1, round((entries / ENTRIES_PER_SQUARED_ROTATION) ** 0.5))
 
@@ -75,12 +82,15 @@ def _records(field, ids, hashes, v, turn):
     import numpy as np
 
     dim = v.shape[1]
-    c = v @ turn
     take = min(CELLS_PER_VECTOR, dim)
-    strong = np.argpartition(-np.abs(c), take - 1, axis=1)[:, :take]
-    cells = np.sort(strong * 2 + (np.take_along_axis(c, strong, 1) > 0), axis=1)
+    cells, first = np.empty((len(v), take), np.int64), np.empty((len(v), dim), np.float32)
+    step = rows_at_once(turn.shape[1])
+    for lo in range(0, len(v), step):
+        c = v[lo:lo + step] @ turn
+        strong = np.argpartition(-np.abs(c), take - 1, axis=1)[:, :take]
+        cells[lo:lo + step] = np.sort(strong * 2 + (np.take_along_axis(c, strong, 1) > 0), axis=1)
+        first[lo:lo + step] = c[:, :dim]
     r = np.zeros(len(v), _record(dim))
-    first = c[:, :dim]
     sign, large = first > 0, np.abs(first) > 0.9816 / dim**0.5
     r["id"], r["h"] = ids, hashes
     r["sign"], r["large"] = np.packbits(sign, axis=1), np.packbits(large, axis=1)
@@ -179,8 +189,9 @@ def _visiting(r, cell: int, tile: tuple[int, int], floor: float, k: int | None,
     bound = EPS * np.sqrt(np.maximum(1 - alpha**2, 0)) / alpha / (dim - 1) ** 0.5
     visits = np.zeros(len(r), bool)
     crossed = tile[0] != tile[1]
-    for lo in range(0, len(r), 1024):
-        rows = slice(lo, min(lo + 1024, len(r)))
+    step = rows_at_once(len(r))
+    for lo in range(0, len(r), step):
+        rows = slice(lo, min(lo + step, len(r)))
         e = (sign[rows] @ fine.T + fine[rows] @ sign.T) / 2
         e[np.arange(e.shape[0]), np.arange(lo, lo + e.shape[0])] = -2
         if crossed:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.llm.cells import KEY_FIELD, CellSearch, by_key, unpacked
+from sightline.llm.cells import KEY_FIELD, CellSearch, by_key, rows_at_once, unpacked
 
 
 def _nearest(dim: int, floors: dict[int, float], k: int) -> Callable:
@@ -26,8 +26,9 @@ def _nearest(dim: int, floors: dict[int, float], k: int) -> Callable:
             if len(ids) < 2:
                 continue
             field = key // KEY_FIELD
-            for lo in range(0, len(ids), 1024):
-                s = v[lo:lo + 1024] @ v.T
+            step = rows_at_once(len(ids))
+            for lo in range(0, len(ids), step):
+                s = v[lo:lo + step] @ v.T
                 s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
                 least = np.full(len(s), floors[field], np.float32)
                 if len(ids) > k:

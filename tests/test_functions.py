@@ -14,8 +14,8 @@ def column(spark, values, expr, kind="string"):
 
 def test_digests(spark):
     d = hashlib.sha256(b"x").hexdigest()
-    given = [d, d.upper(), f"sha256:{d}", f" {d}\n", f"SHA-256 = {d}", d[:-1], d + "0", "0" * 64, "", None, "n/a", d[:10] + "g" + d[11:]]
-    assert column(spark, given, digests.clean_digest("x", 64)) == [d] * 5 + [None] * 7
+    given = [d, d.upper(), f"sha256:{d}", f" {d}\n", f"SHA-256 = {d}", f"{d}\n", d[:-1], d + "0", "0" * 64, "", None, "n/a", d[:10] + "g" + d[11:]]
+    assert column(spark, given, digests.clean_digest("x", 64)) == [d] * 6 + [None] * 7
 
 
 def test_locations(spark):

@@ -108,13 +108,25 @@ def md5_collisions(queries: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def exact_videos(queries: DataFrame, frames: DataFrame) -> DataFrame:
-    """Indexed frames of a query's video, per video path: count, earliest frame, distinct timecodes in order.
+    """Indexed frames of a query's video, per video path: ``(query_id, video_path, n, first_timecode_ms, first_frame, last_timecode_ms)``.
 
-    Malformed timecodes (null or no integer) and rows without a path are skipped.
+    Each timecode counts once.  Malformed timecodes (null or no integer) and
+    rows without a path are skipped.  Timecodes are counted, not gathered: one
+    video may hold a large share of all frames.
     """
-    clean = frames.select("video_hash", "video_path", "frame_hash", F.expr("try_cast(frame_timecode_ms AS BIGINT)").alias("tc")).where(
+    met = queries.join(_timed_frames(frames), "video_hash")
+    once = met.groupBy("query_id", "video_path", "tc").agg(F.min("frame_hash").alias("frame_hash"))
+    return once.groupBy("query_id", "video_path").agg(
+        F.count("*").alias("n"), F.min(F.struct("tc", "frame_hash")).alias("first"), F.max("tc").alias("last_timecode_ms"),
+    ).select("query_id", "video_path", "n", F.col("first.tc").alias("first_timecode_ms"), F.col("first.frame_hash").alias("first_frame"), "last_timecode_ms")
+
+
+def exact_video_frames(queries: DataFrame, frames: DataFrame) -> DataFrame:
+    """The same frames one by one: ``(query_id, video_path, timecode_ms)``."""
+    met = queries.join(_timed_frames(frames), "video_hash")
+    return met.select("query_id", "video_path", F.col("tc").alias("timecode_ms")).distinct()
+
+
+def _timed_frames(frames: DataFrame) -> DataFrame:
+    return frames.select("video_hash", "video_path", "frame_hash", F.expr("try_cast(frame_timecode_ms AS BIGINT)").alias("tc")).where(
         "tc is not null and coalesce(video_path, '') <> ''")
-    met = queries.join(clean, "video_hash")
-    return met.groupBy("query_id", "video_path").agg(
-        F.sort_array(F.collect_set("tc")).alias("timecodes"), F.min(F.struct("tc", "frame_hash")).alias("first"),
-    ).select("query_id", "video_path", "timecodes", F.col("first.tc").alias("first_timecode_ms"), F.col("first.frame_hash").alias("first_frame"))

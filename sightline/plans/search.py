@@ -67,8 +67,7 @@ SELECT DISTINCT q.record_id AS query_id, p.path FROM records q JOIN records p ON
 def exact_videos(spark, d):
     f = frames(spark, d).select("video_hash", F.concat(F.lit("/v/"), "video_hash").alias("video_path"), "frame_hash", F.col("timecode_ms").cast("string").alias("frame_timecode_ms"))
     wanted = table(spark, d, "videos").select("video_hash").distinct().withColumn("query_id", F.col("video_hash"))
-    found = op.exact_videos(wanted, f)
-    return found.select("query_id", F.size("timecodes").cast("bigint").alias("n"), "first_timecode_ms", "first_frame", F.element_at("timecodes", -1).alias("last_timecode_ms"))
+    return op.exact_videos(wanted, f).drop("video_path")
 
 
 QUERIES["exact_videos"] = exact_videos

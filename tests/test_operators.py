@@ -256,3 +256,38 @@ def test_entry_without_llm():
 
     code = "import sys; sys.modules['sightline.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'semantic_topk' in q and not any(k.startswith('p1_') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
+def test_exact_videos_skip_malformed_timecodes(spark):
+    frames = spark.createDataFrame([("v", "/v", "h3", "30"), ("v", "/v", "h1", "10"), ("v", "/v", "h0", "10"), ("v", "/v", "x", "abc"), ("v", "/v", "x", None), ("v", None, "x", "5"), ("v", "", "x", "6")],
+                                   "video_hash string, video_path string, frame_hash string, frame_timecode_ms string")
+    queries = spark.createDataFrame([(1, "v"), (2, "w")], "query_id long, video_hash string")
+    assert rows(search.exact_videos(queries, frames)) == [(1, "/v", 2, 10, "h0", 30)]
+    assert sorted(rows(search.exact_video_frames(queries, frames))) == [(1, "/v", 10), (1, "/v", 30)]
+
+
+def test_pixel_hash(spark):
+    import hashlib
+    import struct
+
+    df = spark.createDataFrame([(640, 480, b"rgb")], "w int, h int, rgb binary")
+    assert df.select(sampling.pixel_hash("w", "h", "rgb")).first()[0] == hashlib.sha256(struct.pack("<II", 640, 480) + b"rgb").hexdigest()
+
+
+def test_exported_names_do_not_collide(spark):
+    import hashlib
+
+    tags = spark.createDataFrame([(1, "a b", [1, 2, 3], [2])], "tag_id long, name string, positive_ids array<long>, negative_ids array<long>")
+    points = spark.createDataFrame([(1, "/x/p.jpg"), (2, "/y/p.jpg"), (3, "/z/q.jpg")], "point_id long, path string")
+    got = sorted(rows(store.export_plan(tags, points, "point_id", "path").select("tag", "role", "point", "name")))
+    other = f"p_{hashlib.sha256(b'/y/p.jpg').hexdigest()[:8]}.jpg"
+    assert got == [("a_b", "negative", 2, "p.jpg"), ("a_b", "positive", 1, "p.jpg"), ("a_b", "positive", 2, other), ("a_b", "positive", 3, "q.jpg")]
+
+
+def test_reference_vectors_fall_back(spark):
+    tags = spark.createDataFrame([(1, [1, 9], [2])], "tag_id long, positive_ids array<long>, negative_ids array<long>")
+    case = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "point_id long, v array<double>")
+    ref = spark.createDataFrame([(1, [7.0]), (9, [9.0])], "point_id long, v array<double>")
+    got = {r["ref_id"]: r["v"] for r in triage.reference_vectors(tags, case, ref, "point_id", "v").collect()}
+    assert got == {1: [1.0], 2: [2.0], 9: [9.0]}
+    assert {r["ref_id"]: r["v"] for r in triage.reference_vectors(tags, case, None, "point_id", "v").collect()}[9] is None

@@ -82,3 +82,93 @@ def embedded(files: DataFrame, content: str, make: Callable[[], Embedder]) -> Da
             yield pd.DataFrame(rows, columns=["vector", "embed_error"])
 
     return files.withColumn("_e", run(F.col(content))).select(*files.columns, "_e.vector", "_e.embed_error")
+
+
+def checked_response(data: list[dict], count: int, dim: int) -> list[list[float]]:
+    """Vectors of a remote answer in request order; a missing, repeated or misshaped item is an error."""
+    by_index: dict[int, list[float]] = {}
+    for item in data:
+        index, vector = item.get("index"), item.get("embedding")
+        if not isinstance(index, int) or not 0 <= index < count or index in by_index:
+            raise ValueError(f"unexpected index {index!r} in the answer")
+        if not isinstance(vector, list) or len(vector) != dim:
+            raise ValueError(f"item {index} has no vector of {dim} values")
+        by_index[index] = [float(x) for x in vector]
+    if len(by_index) != count:
+        raise ValueError(f"{len(by_index)} vectors for {count} items")
+    return [by_index[i] for i in range(count)]
+
+
+class RemoteEmbedder:
+    """Vectors from an endpoint that takes ``{model, input: [data URLs]}``; the model must be named."""
+
+    def __init__(self, url: str, model: str, dim: int, timeout: float = 30.0, key: str | None = None):
+        if not model.strip():
+            raise ValueError("a remote endpoint needs an explicit model name")
+        self.url, self.name, self.dim, self.timeout, self.key = url.rstrip("/"), model, dim, timeout, key
+
+    def identity(self) -> str:
+        return "config:" + hashlib.sha256(f"{self.url}{self.name}{self.dim}".encode()).hexdigest()
+
+    def embed(self, contents: list[bytes]) -> list[list[float]]:
+        import base64
+        import json
+        from urllib.request import Request, urlopen
+
+        if not contents:
+            return []
+        body = {"model": self.name, "input": ["data:image/jpeg;base64," + base64.b64encode(c).decode() for c in contents]}
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        with urlopen(Request(f"{self.url}/embeddings", json.dumps(body).encode(), head), timeout=self.timeout) as answer:  # noqa: S310
+            return checked_response(json.load(answer)["data"], len(contents), self.dim)
+
+
+FACTORIES["remote"] = RemoteEmbedder
+
+
+def analysed(uploads: DataFrame, models: dict[str, Callable[[], Embedder]]) -> tuple[DataFrame, DataFrame]:
+    """Files and query vectors of an upload session, ready for the session search.
+
+    ``uploads(file_id, content, is_video, query_timecode_ms)`` has one row per
+    image and one per frame of a video (whose ``file_hash`` is then given).  A
+    file has an error if all its rows fail in some mode.  Returns
+    ``files(file_id, is_video, error, file_hash, file_hash_md5)`` and
+    ``vectors(q_id, file_id, mode, query_timecode_ms, vec)``.
+    """
+    given = F.col("file_hash") if "file_hash" in uploads.columns else F.lit(None).cast("string")
+    base = uploads.withColumns({"file_hash": F.coalesce(given, F.sha2("content", 256)), "file_hash_md5": F.md5("content")})
+    vectors, errors = None, None
+    for number, (mode, make) in enumerate(models.items()):
+        done = embedded(base, "content", make)
+        key = F.xxhash64("file_id", F.coalesce("query_timecode_ms", F.lit(-1).cast("bigint")), F.lit(number))
+        v = done.where("vector is not null").select(key.alias("q_id"), "file_id", F.lit(mode).alias("mode"), "query_timecode_ms", F.col("vector").alias("vec"))
+        e = done.groupBy("file_id").agg(F.when(F.count("vector") == 0, F.min("embed_error")).alias("error"))
+        vectors, errors = (v, e) if vectors is None else (vectors.union(v), errors.union(e))
+    failed = errors.groupBy("file_id").agg(F.min("error").alias("error")) if errors is not None else uploads.select("file_id", F.lit(None).cast("string").alias("error")).distinct()
+    files = base.groupBy("file_id").agg(F.bool_or("is_video").alias("is_video"), F.min("file_hash").alias("file_hash"), F.min("file_hash_md5").alias("file_hash_md5"))
+    return files.join(failed, "file_id").select("file_id", "is_video", "error", "file_hash", "file_hash_md5"), vectors
+
+
+def probe_batches(run: Callable[[int], float], largest: int = 256) -> list[tuple[int, float]]:
+    """Throughput of doubled batch sizes until saturation, decay, a plateau or an error: ``(batch, items per second)``."""
+    from statistics import median, pstdev
+
+    from sightline.operators.stats import MIN_GAIN, PEAK_DROPS, PEAK_SHARE, PLATEAU_CV, PLATEAU_WINDOW
+
+    measured: list[tuple[int, float]] = []
+    batch = 1
+    while batch <= largest:
+        try:
+            rate = median(batch / max(run(batch), 1e-9) for _ in range(3))
+        except (MemoryError, RuntimeError):
+            break
+        measured.append((batch, rate))
+        rates = [t for _, t in measured]
+        saturated = len(rates) > 1 and 0 <= (rates[-1] - rates[-2]) / rates[-2] < MIN_GAIN
+        decayed = len(rates) >= PEAK_DROPS and all(t < PEAK_SHARE * max(rates) for t in rates[-PEAK_DROPS:])
+        window = rates[-PLATEAU_WINDOW:]
+        settled = len(rates) > PLATEAU_WINDOW and pstdev(window) / (sum(window) / len(window)) < PLATEAU_CV
+        if saturated or decayed or settled:
+            break
+        batch *= 2
+    return measured

@@ -71,3 +71,17 @@ def within_roots(df: DataFrame, path: str, roots: list[str]) -> DataFrame:
     for root in roots:
         ok = ok | F.col(path).startswith(root.rstrip("/") + "/")
     return df.where(F.coalesce(ok, F.lit(False)))
+
+
+def checked_upload(files: DataFrame, size: str, cap: int) -> DataFrame:
+    """The files, if their sizes together stay within ``cap`` bytes (0: no cap)."""
+    if cap > 0:
+        total = files.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+        if total > cap:
+            raise ValueError(f"upload of {total} bytes exceeds {cap}")
+    return files
+
+
+def session_allowed(active: int, cap: int) -> bool:
+    """Whether one more session may start; a cap of 0 is none."""
+    return cap <= 0 or active < cap

@@ -291,3 +291,34 @@ def test_reference_vectors_fall_back(spark):
     got = {r["ref_id"]: r["v"] for r in triage.reference_vectors(tags, case, ref, "point_id", "v").collect()}
     assert got == {1: [1.0], 2: [2.0], 9: [9.0]}
     assert {r["ref_id"]: r["v"] for r in triage.reference_vectors(tags, case, None, "point_id", "v").collect()}[9] is None
+
+
+def test_remote_answers():
+    ok = [{"index": 1, "embedding": [3, 4]}, {"index": 0, "embedding": [1, 2]}]
+    assert embed.checked_response(ok, 2, 2) == [[1.0, 2.0], [3.0, 4.0]]
+    for bad, count in ((ok[:1], 2), ([ok[0], ok[0]], 2), ([{"index": 0, "embedding": [1]}], 1), ([{"index": 5, "embedding": [1, 2]}], 1), ([{"embedding": [1, 2]}], 1)):
+        with pytest.raises(ValueError):
+            embed.checked_response(bad, count, 2)
+    with pytest.raises(ValueError):
+        embed.embedder("remote", url="http://x/", model=" ", dim=2)
+
+
+def test_analysed_session(spark):
+    rows_ = [(1, b"a", False, None, None), (2, b"bad", False, None, None), (3, b"f1", True, 0, "vh"), (3, b"f2", True, 500, "vh")]
+    uploads = spark.createDataFrame(rows_, "file_id long, content binary, is_video boolean, query_timecode_ms long, file_hash string")
+    f, v = embed.analysed(uploads, {"semantic": lambda: Picky(8), "altered": lambda: Picky(4)})
+    got = {r["file_id"]: r for r in f.collect()}
+    assert got[2]["error"] and got[1]["error"] is None and got[3]["file_hash"] == "vh" and got[3]["is_video"]
+    found = v.collect()
+    assert sorted((r["file_id"], r["mode"]) for r in found) == [(1, "altered"), (1, "semantic"), (3, "altered"), (3, "altered"), (3, "semantic"), (3, "semantic")]
+    assert len({r["q_id"] for r in found}) == 6
+
+
+def test_probing_and_caps(spark):
+    times = iter([x for b in (1, 2, 4, 8) for x in [b / {1: 10, 2: 19, 4: 30, 8: 30.5}[b]] * 3])
+    assert [b for b, _ in embed.probe_batches(lambda b: next(times))] == [1, 2, 4, 8]
+    df = spark.createDataFrame([(1, 10), (2, 20)], "id long, size long")
+    assert files.checked_upload(df, "size", 30) is df and files.checked_upload(df, "size", 0) is df
+    with pytest.raises(ValueError):
+        files.checked_upload(df, "size", 29)
+    assert files.session_allowed(5, 0) and files.session_allowed(1, 2) and not files.session_allowed(2, 2)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sightline.session import Scratch
 
-# strongest rotated coordinates that a vector is filed under
+# strongest rotated coordinates that a vector is filed under, unless the caller asks for more
 CELLS_PER_VECTOR = 8
 # rotations grow with the square root of the entries: a cell's entries grow no faster
 ENTRIES_PER_SQUARED_ROTATION = 6000
@@ -68,21 +68,21 @@ def _unit_rows(column: pa.Array, dim: int):
     return at[good], (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _record(dim: int):
+def _record(dim: int, cells: int):
     import numpy as np
 
     return np.dtype([
         ("id", "<i8"), ("h", "<i8"), ("sign", "u1", dim // 8), ("large", "u1", dim // 8),
-        ("alpha", "<f2"), ("beta", "<f2"), ("block", "<u2"), ("cells", "<u2", CELLS_PER_VECTOR),
+        ("alpha", "<f2"), ("beta", "<f2"), ("block", "<u2"), ("cells", "<u2", cells),
     ])
 
 
-def _records(field, ids, hashes, v, turn):
+def _records(ids, hashes, v, turn, filed: int):
     """Code records of unit vectors; cells are numbered within the field, ascending."""
     import numpy as np
 
     dim = v.shape[1]
-    take = min(CELLS_PER_VECTOR, dim)
+    take = min(filed, dim)
     cells, first = np.empty((len(v), take), np.int64), np.empty((len(v), dim), np.float32)
     step = rows_at_once(turn.shape[1])
     for lo in range(0, len(v), step):
@@ -90,14 +90,14 @@ def _records(field, ids, hashes, v, turn):
         strong = np.argpartition(-np.abs(c), take - 1, axis=1)[:, :take]
         cells[lo:lo + step] = np.sort(strong * 2 + (np.take_along_axis(c, strong, 1) > 0), axis=1)
         first[lo:lo + step] = c[:, :dim]
-    r = np.zeros(len(v), _record(dim))
+    r = np.zeros(len(v), _record(dim, filed))
     sign, large = first > 0, np.abs(first) > 0.9816 / dim**0.5
     r["id"], r["h"] = ids, hashes
     r["sign"], r["large"] = np.packbits(sign, axis=1), np.packbits(large, axis=1)
     r["alpha"] = np.abs(first).sum(1) / dim**0.5
     r["beta"] = (np.abs(first) * np.where(large, 1.510, 0.4528)).sum(1) / dim**0.5
     r["cells"][:, :take] = cells
-    if take < CELLS_PER_VECTOR:
+    if take < filed:
         r["cells"][:, take:] = cells[:, -1:]
     return r
 
@@ -105,14 +105,14 @@ def _records(field, ids, hashes, v, turn):
 KEY_FIELD, KEY_CELL = 1 << 56, 1 << 24
 
 
-def _file_cells(dim: int, count: int, hot: dict[int, int]) -> Callable:
+def _file_cells(dim: int, count: int, hot: dict[int, int], filed: int) -> Callable:
     """Rows ``(key, n, payload)``: the code records of a batch, by cell (and pair of blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         turn = _rotations(dim, count)
-        kind = _record(dim)
+        kind = _record(dim, filed)
         for batch in batches:
             at, v = _unit_rows(batch.column(3), dim)
             if not len(at):
@@ -123,9 +123,9 @@ def _file_cells(dim: int, count: int, hot: dict[int, int]) -> Callable:
             keep = np.ones(len(order), bool)
             keep[1:] = (hashes[order][1:] != hashes[order][:-1]) | (field[order][1:] != field[order][:-1])
             order = order[keep]
-            r = _records(field[order], ids[order], hashes[order], v[order], turn)
+            r = _records(ids[order], hashes[order], v[order], turn, filed)
             keys, rows = [], []
-            distinct = np.ones((len(r), CELLS_PER_VECTOR), bool)
+            distinct = np.ones((len(r), filed), bool)
             distinct[:, 1:] = r["cells"][:, 1:] != r["cells"][:, :-1]
             who, which = np.nonzero(distinct)
             key = field[order][who] * KEY_FIELD + r["cells"][who, which].astype(np.int64) * KEY_CELL
@@ -207,21 +207,21 @@ def _visiting(r, cell: int, tile: tuple[int, int], floor: float, k: int | None,
         # a pair belongs to the first of the cells it shares
         a, b = r["cells"][lo + i], r["cells"][j]
         first = np.ones(len(i), bool)
-        for p in range(CELLS_PER_VECTOR):
+        for p in range(a.shape[1]):
             low = a[:, p] < cell
             if low.any():
-                for q in range(CELLS_PER_VECTOR):
+                for q in range(b.shape[1]):
                     first &= ~(low & (a[:, p] == b[:, q]))
         visits[lo + i[first]] = True
         visits[j[first]] = True
     return visits
 
 
-def _visits(dim: int, floor: float, k: int | None) -> Callable:
+def _visits(dim: int, floor: dict[int, float], k: int | None, filed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        kind = _record(dim)
+        kind = _record(dim, filed)
         for key, parts in by_key(batches):
             r = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist()), kind)
             order = np.lexsort((r["id"], r["h"]))
@@ -273,8 +273,8 @@ def unpacked(parts: list[pa.RecordBatch], column: int, dim: int):
 class CellSearch:
     """Search over the usable vectors of ``fields`` (column name -> floor cosine)."""
 
-    def __init__(self, entries: DataFrame, entry_id: str, fields: dict[str, float], dim: int, scratch: Scratch | None = None):
-        self.dim, self.fields = dim, list(fields)
+    def __init__(self, entries: DataFrame, entry_id: str, fields: dict[str, float], dim: int, cells: int = CELLS_PER_VECTOR, scratch: Scratch | None = None):
+        self.dim, self.fields, self.cells = dim, list(fields), cells
         self.floors = dict(enumerate(fields.values()))
         self.scratch = scratch or Scratch(entries.sparkSession)
         parts = [
@@ -302,12 +302,12 @@ class CellSearch:
         if self.entries > BLOCK:
             share = max(1, self.entries // LOAD_SAMPLE)
             part = self.vectors.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
-            loads = part.mapInArrow(_file_cells(self.dim, count, {}), "key long, n int, payload binary").groupBy("key").agg(F.sum("n").alias("n"))
-            # at most entries * CELLS_PER_VECTOR / BLOCK rows
+            loads = part.mapInArrow(_file_cells(self.dim, count, {}, self.cells), "key long, n int, payload binary").groupBy("key").agg(F.sum("n").alias("n"))
+            # at most entries * cells / BLOCK rows
             hot = {r["key"]: min(4095, -(-r["n"] * share // BLOCK)) for r in loads.where(F.col("n") * share > BLOCK).collect()}
-        filed = self.vectors.mapInArrow(_file_cells(self.dim, count, hot), "key long, n int, payload binary")
+        filed = self.vectors.mapInArrow(_file_cells(self.dim, count, hot, self.cells), "key long, n int, payload binary")
         found = filed.repartition("key").sortWithinPartitions("key").mapInArrow(
-            _visits(self.dim, self.floors, k), "field int, id long, key long")
+            _visits(self.dim, self.floors, k, self.cells), "field int, id long, key long")
         return self.scratch.write(found, "visits")
 
     def packed(self) -> DataFrame:

@@ -62,7 +62,8 @@ def source_sizes(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_
     )
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
     per = sized.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"))
-    wanted = targets.select(F.col("source").alias("name"), plain_source("source").alias("source"), "target_share", "max_uses")
+    wanted = targets.select(F.col("source").alias("name"), plain_source("source").alias("source"),
+                             F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_uses", F.lit(0)).alias("max_uses"))
     sizes = (
         wanted.join(per, "source", "left").crossJoin(F.broadcast(total))  # one row
         .select("name", "source", "target_share", "max_uses", F.coalesce("docs", F.lit(0)).alias("documents"),
@@ -82,7 +83,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = DE
     Documents of sources without a target and texts without tokens add to the
     total but are not used; a target source without documents is reported with
     nothing reached.  Targets are a small fixed table (one row per source), the
-    only rows that reach the driver.
+    only rows that reach the driver; a missing share or number of uses is 0, and
+    shares that do not sum to 1 are scaled.
     """
     spark = docs.sparkSession
     sized, sizes = source_sizes(docs, targets, vocabulary)
@@ -90,11 +92,11 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = DE
     total = plan[0]["total_tokens"] if plan else 0
     names = [r["source"] for r in plan]
     shares = [float(r["target_share"]) for r in plan]
-    weight = sum(shares) or 1.0
-    shares = [x / weight for x in shares]
+    weight = sum(shares)
+    shares = [x / weight for x in shares] if weight else []
     blocks = {r["source"]: -(-r["tokens"] // BLOCK_TOKENS) for r in plan}
     uses = {r["source"]: r["max_uses"] for r in plan}
-    slots = -(-total // BLOCK_TOKENS)
+    slots = -(-total // BLOCK_TOKENS) if weight else 0
     shards = -(-slots // SHARD_SLOTS)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -72,6 +72,9 @@ def test_mixing(spark, monkeypatch):
     assert abs(sum(r["reached_share"] for r in got.values()) - 1) < 1e-9
     uses = mixed.groupBy("source", "doc_id", "first_token").count().collect()
     assert all(r["count"] <= {"big": 2, "small": 3}[r["source"]] for r in uses)
+    odd = spark.createDataFrame([("big", None, 2), ("small", 0.4, None)], targets.schema)
+    assert mixing.mix(docs(spark, rows), odd)[0].count() == 0
+    assert mixing.mix(docs(spark, rows), odd.limit(0))[1].count() == 0
     assert mixing.mix(docs(spark, []), targets)[1].where("reached_share > 0").count() == 0
 
 

@@ -109,3 +109,9 @@ def test_repeats_equal_the_sequential_rule(spark):
 
 def test_no_records(spark):
     assert batch_dedup.repeated_records(spark.createDataFrame([], FILE)).count() == 0
+
+
+def test_record_without_a_batch_comes_last(spark):
+    d = "ab" * 32
+    rows = [(1, None, None, None, d, *[0] * 5, "l", 0), (2, 3, None, None, d, *[0] * 5, "l", 0), (None, 1, None, None, d, *[0] * 5, "l", 0)]
+    assert [tuple(r) for r in batch_dedup.repeated_records(spark.createDataFrame(rows, FILE), 1).collect()] == [(2, 1)]

@@ -20,7 +20,7 @@ def test_digests(spark):
 
 def test_locations(spark):
     nfd = unicodedata.normalize("NFD", "/e/téléphone/a.jpg")
-    given = ["/e/a.jpg", "/e//a.jpg", "/e/./a.jpg", "/e/x/../a.jpg", "\\e\\a.jpg", "file:///e/a.jpg", " /e/a.jpg\t", "/e/a.jpg/"]
+    given = ["/e/a.jpg", "/e//a.jpg", "/e/./a.jpg", "/e/x/../a.jpg", "\\e\\a.jpg", "/e\\a.jpg", "/e/./x/../a.jpg", "/../e/a.jpg", "/e/a.jpg/.", "/e/x/..//a.jpg", "file:///e/a.jpg", " /e/a.jpg\t", "/e/a.jpg/"]
     assert set(column(spark, given, paths.clean_location("x"))) == {"/e/a.jpg"}
     assert column(spark, [nfd, "file:///e/t%C3%A9l%C3%A9phone/a+b.jpg"], paths.clean_location("x")) == ["/e/téléphone/a.jpg", "/e/téléphone/a+b.jpg"]
     assert column(spark, ["/e/A.jpg", "e/a.jpg", "/e/100%.jpg", None, "  "], paths.clean_location("x")) == ["/e/A.jpg", "e/a.jpg", "/e/100%.jpg", None, None]

@@ -102,6 +102,25 @@ def _records(ids, hashes, v, turn, filed: int):
     return r
 
 
+def _cells_of(dim: int, count: int, filed: int) -> Callable:
+    """``(field, id, cells)``: all cells of a vector, whether or not it meets another one there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        turn = _rotations(dim, count)
+        for batch in batches:
+            at, v = _unit_rows(batch.column(3), dim)
+            if not len(at):
+                continue
+            none = np.zeros(len(at), np.int64)
+            cells = _records(none, none, v, turn, filed)["cells"].astype(np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, filed, dtype=np.int32), pa.array(cells.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), lists], names=["field", "id", "cells"])
+
+    return run
+
+
 KEY_FIELD, KEY_CELL = 1 << 56, 1 << 24
 
 
@@ -310,6 +329,11 @@ class CellSearch:
             _visits(self.dim, self.floors, k, self.cells), "field int, id long, key long")
         return self.scratch.write(found, "visits")
 
+    def filed(self) -> DataFrame:
+        """``(field, id, cells)``: every usable vector with all cells that it is filed under."""
+        found = self.vectors.mapInArrow(_cells_of(self.dim, rotations_for(self.entries), self.cells), "field int, id long, cells array<int>")
+        return found.withColumn("cells", F.array_distinct("cells"))
+
     def packed(self) -> DataFrame:
         return self.vectors.mapInArrow(_packed(self.dim), "field int, id long, vec binary")
 

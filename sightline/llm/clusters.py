@@ -100,13 +100,14 @@ def _propagated(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def similar_clusters(entries: DataFrame, entry_id: str, column: str, floor: float, dim: int = 128) -> tuple[DataFrame, DataFrame]:
-    """``members(cluster_id, entry_id)`` and ``cells(entry_id, key)``.
+    """``members(cluster_id, entry_id)`` and ``filed(cluster_id, entry_id, cells)``.
 
     A cluster is three or more entries that are all similar to each other (cosine
     of usable vectors at least ``floor``) and to no entry outside; its id is its
     smallest entry id.  Copies of one vector are compared once and all belong to
     the cluster.  Unusable vectors (null, short, NaN, zero) are in none; an empty
-    table gives no rows.
+    table gives no rows.  ``filed`` has every member, copies too, with all cells
+    that its vector lies in.
 
     The final check compares all members of a label in blocks: a label of ``m``
     distinct vectors takes ``(m / BLOCK)^2 / 2`` tasks of bounded size.
@@ -132,27 +133,27 @@ def similar_clusters(entries: DataFrame, entry_id: str, column: str, floor: floa
     placed = search.packed().select("id", "vec").join(spread, "id").select("key", "label", "block", "vec")
     bad = placed.repartition("key").sortWithinPartitions("key").mapInArrow(_dissimilar(dim, floor), "label long").distinct()
     good = known.join(scratch.write(bad, "bad"), "label", "left_anti")
-    members = usable.join(good.select("h", "label"), "h").select("label", "id")
+    members = usable.join(good.select("h", "label", "rep"), "h").select("label", "id", "rep")
     named = members.groupBy("label").agg(F.min("id").alias("cluster_id"))
-    members = members.join(named, "label").select("cluster_id", F.col("id").alias("entry_id"))
-    return members, dense.select(F.col("id").alias("entry_id"), "key")
+    members = members.join(named, "label").select("cluster_id", F.col("id").alias("entry_id"), "rep")
+    filed = members.join(search.filed().select(F.col("id").alias("rep"), "cells"), "rep")
+    return members.drop("rep"), filed.drop("rep")
 
 
 def described_clusters(entries: DataFrame, entry_id: str, column: str, floor: float, typical: int = 3, dim: int = 128) -> DataFrame:
     """``(cluster_id, size, rank, entry_id, density)``: the most typical members of each cluster.
 
-    Density: members of the cluster in the fullest of the entry's cells (copies
-    that were not compared themselves have none); ties go to the smaller id.
+    Density: members of the cluster in the fullest of the entry's cells, copies
+    counted one by one; ties go to the smaller id.
     """
-    members, cells = similar_clusters(entries, entry_id, column, floor, dim)
-    members = Scratch(entries.sparkSession).write(members, "members")
-    inside = cells.distinct().join(members, "entry_id")
-    full = inside.groupBy("cluster_id", "key").agg(F.count("*").alias("n"))
-    density = inside.join(full, ["cluster_id", "key"]).groupBy("entry_id").agg(F.max("n").alias("density"))
-    size = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    _, filed = similar_clusters(entries, entry_id, column, floor, dim)
+    filed = Scratch(entries.sparkSession).write(filed, "filed")
+    inside = filed.select("cluster_id", "entry_id", F.explode("cells").alias("cell"))
+    full = inside.groupBy("cluster_id", "cell").agg(F.count("*").alias("n"))
+    density = inside.join(full, ["cluster_id", "cell"]).groupBy("cluster_id", "entry_id").agg(F.max("n").alias("density"))
+    size = filed.groupBy("cluster_id").agg(F.count("*").alias("size"))
     order = Window.partitionBy("cluster_id").orderBy(F.desc("density"), "entry_id")
     return (
-        members.join(density, "entry_id", "left").withColumn("density", F.coalesce("density", F.lit(0)))
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= typical)
+        density.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= typical)
         .join(size, "cluster_id").select("cluster_id", "size", "rank", "entry_id", "density")
     )

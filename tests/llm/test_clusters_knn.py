@@ -96,6 +96,24 @@ def test_described_clusters(spark, vectors):
     assert all(r["rank"] <= 3 for r in rows)
 
 
+def test_density_counts_all_members_of_a_cell(spark, vectors):
+    v = vectors | {i: [1.0] + [0.5] * 127 for i in (904, 907, 909)}  # a cluster of copies only
+    ids, m = unit(v)
+    c = m.astype("float32") @ cells._rotations(128, 1)
+    filed = {i: {(int(a), bool(r[a] > 0)) for a in np.argsort(-np.abs(r))[:clusters.CELLS]} for i, r in zip(ids, c)}
+    groups = {}
+    for cluster, i in brute_clusters(v, 0.65):
+        groups.setdefault(cluster, []).append(i)
+    want = set()
+    for cluster, members in groups.items():
+        density = {i: max(sum(cell in filed[j] for j in members) for cell in filed[i]) for i in members}
+        best = sorted(members, key=lambda i: (-density[i], i))[:3]
+        want |= {(cluster, rank, i, density[i]) for rank, i in enumerate(best, 1)}
+    rows = clusters.described_clusters(entries(spark, v), "entry_id", "dino", 0.65).collect()
+    assert {(r["cluster_id"], r["rank"], r["entry_id"], r["density"]) for r in rows} == want
+    assert (904, 3, 909, 3) in want
+
+
 def test_neighbours_against_brute_force(spark, vectors):
     got = knn.similar_pairs(entries(spark, vectors, vectors), "entry_id", {"dino": 0.65, "sscd": 0.75}, {"dino": "dino", "sscd": "sscd"})
     rows = [tuple(r) for r in got.collect()]

@@ -3,7 +3,8 @@
 Prefix evidence: all distinct texts are sorted; if any text continues another,
 then that other's successor in byte order does, so one look ahead finds every
 text with a longer copy, whatever the size of a group with equal beginnings.
-A longer copy that goes on inside a word proves the cut.
+A longer copy that goes on inside a word proves the cut, and so does one that
+goes on anywhere else if the last word is not one that ends texts of the source.
 
 Most cut texts have no longer copy, so two kinds of evidence from all texts of
 the source follow: the last word hardly ever ends a text of that source (or is
@@ -191,12 +192,14 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     never = (F.col("uses") >= NEVER_USES) & (F.col("ends") < NEVER_SHARE * F.col("uses"))
     fragment = F.col("longer_uses") >= FRAGMENT * F.col("uses")
     title = (F.col("chars") < TITLE_CHARS) & (F.col("closed") >= CLOSED_SHARE * F.col("texts")) & ~fragment & F.col("last").rlike(r"[\p{L}\p{N}]") & (F.col("ends") >= TITLE_SHARE * F.col("uses"))
-    broken = F.when(F.col("last") == "�", True).when(F.col("closes") | F.coalesce("usual", F.lit(False)), never | (fragment & (F.col("last") == "."))).otherwise(~ends_texts & ~title & ~F.coalesce(signed, F.lit(False)))
+    closing = F.col("closes") | F.coalesce("usual", F.lit(False))
+    broken = F.when(F.col("last") == "�", True).when(closing, never | (fragment & (F.col("last") == "."))).otherwise(~ends_texts & ~title & ~F.coalesce(signed, F.lit(False)))
     inside = F.col("last").rlike(r"[\p{L}\p{N}]") & F.coalesce(F.col("goes_on").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    continued = F.col("goes_on").isNotNull() & ~closing & ~ends_texts
     return (
         slim.join(stats, ["source", "word"]).join(sizes, "source").join(lines, ["source", "line"], "left").join(marks, ["source", "last"], "left")
         .join(copies, ["h1", "h2"], "left").join(by_limit.withColumn("limited", F.lit(True)), "doc_id", "left")
-        .select("doc_id", "source", inside.alias("by_copy"), (broken & (F.col("marker") == "")).alias("by_ending"), F.coalesce("limited", F.lit(False)).alias("by_limit"))
+        .select("doc_id", "source", (inside | continued).alias("by_copy"), (broken & (F.col("marker") == "")).alias("by_ending"), F.coalesce("limited", F.lit(False)).alias("by_limit"))
         .withColumn("truncated", F.col("by_copy") | F.col("by_ending") | F.col("by_limit"))
         .union(texts.where("coalesce(body, '') = ''").select("doc_id", "source", *[F.lit(False)] * 4))
     )

@@ -94,6 +94,16 @@ def test_truncation(spark):
     assert truncation.judged_texts(docs(spark, [])).count() == 0
 
 
+def test_longer_copy_overrules_a_title(spark):
+    whole = [f"Nothing was moved: the box {n} is still on shelf {w}." for w in ("alpha", "beta", "gamma") for n in range(30)]
+    rows = [(i, t, "notes") for i, t in enumerate(whole)]
+    rows += [(500, "Nothing was moved", "notes"), (501, "Nothing was moved", "notes"), (502, "Inventory of room five", "notes")]
+    # titles of which one goes on after a word that ends others
+    rows += [(510 + i, t, "notes") for i, t in enumerate(("Contents of the annex", "Contents of the annex and the attic", "Plan of the annex", "Keys of the annex", "Boxes in the attic", "Plan of the attic", "Keys of the attic"))]
+    judged = {r["doc_id"]: r["truncated"] for r in truncation.judged_texts(docs(spark, rows)).collect()}
+    assert {i for i, x in judged.items() if x} == {500, 501}
+
+
 def test_longer_copies_are_all_found(spark):
     rng = np.random.default_rng(2)
     texts = sorted({"".join(rng.choice(list("ab"), int(n))) for n in rng.integers(1, 9, 400)} | {"é" * 3, "é" * 5, "z" * 100_000, "z" * 100_001})

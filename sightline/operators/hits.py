@@ -65,6 +65,19 @@ def merge_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     return merged.join(_mode_maxima(hits, keys), keys, "left")
 
 
+def merge_frames(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The matched frames of merged hits, one row per key and timecode.
+
+    Input: ``keys, timecode_ms, frame_hash, scores, ord``.  Scores are maxima per
+    mode; the hash comes from the first arrival; a missing timecode counts as 0.
+    Frames stay rows: one video may have any number of them.
+    """
+    by = [*keys, "timecode_ms"]
+    rows = frames.withColumn("timecode_ms", F.coalesce("timecode_ms", F.lit(0).cast("bigint")))
+    first = rows.groupBy(*by).agg(F.min_by(F.coalesce("frame_hash", F.lit("")), "ord").alias("frame_hash"))
+    return first.join(_mode_maxima(rows, by), by, "left")
+
+
 def unify_key(base: str) -> Column:
     """Case and reference hits of one path or video (column ``base``) stay apart."""
     side = F.when(F.coalesce("is_reference", F.lit(False)), "ref").otherwise("case")

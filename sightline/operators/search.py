@@ -114,11 +114,16 @@ def exact_videos(queries: DataFrame, frames: DataFrame) -> DataFrame:
     rows without a path are skipped.  Timecodes are counted, not gathered: one
     video may hold a large share of all frames.
     """
-    met = queries.join(_timed_frames(frames), "video_hash")
-    once = met.groupBy("query_id", "video_path", "tc").agg(F.min("frame_hash").alias("frame_hash"))
+    once = exact_matched_frames(queries, frames)
     return once.groupBy("query_id", "video_path").agg(
-        F.count("*").alias("n"), F.min(F.struct("tc", "frame_hash")).alias("first"), F.max("tc").alias("last_timecode_ms"),
-    ).select("query_id", "video_path", "n", F.col("first.tc").alias("first_timecode_ms"), F.col("first.frame_hash").alias("first_frame"), "last_timecode_ms")
+        F.count("*").alias("n"), F.min(F.struct("timecode_ms", "frame_hash")).alias("first"), F.max("timecode_ms").alias("last_timecode_ms"),
+    ).select("query_id", "video_path", "n", F.col("first.timecode_ms").alias("first_timecode_ms"), F.col("first.frame_hash").alias("first_frame"), "last_timecode_ms")
+
+
+def exact_matched_frames(queries: DataFrame, frames: DataFrame) -> DataFrame:
+    """The frames that ``exact_videos`` counts, with their hash: ``(query_id, video_path, timecode_ms, frame_hash)``."""
+    met = queries.join(_timed_frames(frames), "video_hash")
+    return met.groupBy("query_id", "video_path", F.col("tc").alias("timecode_ms")).agg(F.min("frame_hash").alias("frame_hash"))
 
 
 def exact_video_frames(queries: DataFrame, frames: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from sightline.functions.media import best_score
 from sightline.operators import hits as merge
 from sightline.operators import search
+from sightline.session import Scratch
 
 VECTORS = {"altered": "sscd", "semantic": "dino"}  # fixed values: the vector of a mode
 PAYLOAD = ["point_id", "path", "image_hash", "is_video_frame", "video_path", "frame_timecode_ms"]
@@ -46,7 +47,7 @@ def _merged_by_path(raw: DataFrame) -> DataFrame:
 
 def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Video frames become one row per video; others pass."""
-    frame = F.coalesce(F.col("is_video_frame"), F.lit(False)) & (F.coalesce("video_path", F.lit("")) != "")
+    frame = _is_frame()
     videos = merge.group_video_hits(rows.where(frame), keys)
     cols = [*keys, "video_path", "path", "image_hash", "frame_timecode_ms", "is_reference", "ord", "scores"]
     return videos.select(*[c for c in dict.fromkeys(cols)]).unionByName(rows.where(~frame).withColumn("video_path", F.lit(None).cast("string")).select(*dict.fromkeys(cols)))
@@ -59,19 +60,42 @@ def _ordered(rows: DataFrame, stage: F.Column) -> DataFrame:
     return rows.withColumn("ord", stage * STAGE + frame * FRAME + place)
 
 
-def exact_hits(files: DataFrame, points: DataFrame) -> DataFrame:
-    """Exact hits of the case collection: images by content, videos by their frames' video hash."""
+def _is_frame() -> F.Column:
+    return F.coalesce(F.col("is_video_frame"), F.lit(False)) & (F.coalesce("video_path", F.lit("")) != "")
+
+
+def _exact_sides(files: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files with a digest, the case collection, and its frames by video hash."""
     case = points.where(~F.coalesce("is_reference", F.lit(False)))
     f = files.where("error is null and file_hash is not null").select(F.col("file_id").alias("query_id"), "file_hash", "is_video")
+    return f, case, case.select("video_hash", "video_path", F.col("image_hash").alias("frame_hash"), "frame_timecode_ms")
+
+
+def exact_hits(files: DataFrame, points: DataFrame) -> DataFrame:
+    """Exact hits of the case collection: images by content, videos by their frames' video hash."""
+    f, case, frames = _exact_sides(files, points)
     images = search.exact_images(f.where("not is_video").select("query_id", F.col("file_hash").alias("image_hash")), case)
     images = images.select(F.col("query_id").alias("file_id"), "path", F.lit(None).cast("string").alias("video_path"), F.lit(None).cast("bigint").alias("frame_timecode_ms"), F.lit(None).cast("string").alias("image_hash"), F.col("rnk").alias("ord"))
-    frames = case.select("video_hash", "video_path", F.col("image_hash").alias("frame_hash"), "frame_timecode_ms")
     videos = search.exact_videos(f.where("is_video").select("query_id", F.col("file_hash").alias("video_hash")), frames)
     videos = videos.select(F.col("query_id").alias("file_id"), F.col("video_path").alias("path"), "video_path", F.col("first_timecode_ms").alias("frame_timecode_ms"), F.col("first_frame").alias("image_hash"), F.lit(0).alias("ord"))
     return images.unionByName(videos).withColumns({
         "query_timecode_ms": F.lit(None).cast("bigint"), "is_reference": F.lit(False), "scores": F.create_map(F.lit("exact"), F.lit(1.0)), "ord": F.col("ord").cast("bigint")})
 
 
+def _raw_hits(files: DataFrame, vectors: DataFrame, points: DataFrame, modes: tuple[str, ...], altered: float, semantic: float, limit: int,
+              include_reference: bool) -> DataFrame | None:
+    """Raw hits of all vector modes in the case and, if wanted, the reference collection."""
+    good = vectors.join(files.where("error is null").select("file_id"), "file_id", "left_semi")
+    floors = {"altered": altered, "semantic": semantic}
+    raw = None
+    for reference in (False, True)[: 2 if include_reference else 1]:
+        for mode in ("altered", "semantic"):
+            if mode in modes:
+                one = vector_hits(good, points, mode, floors[mode], limit, reference)
+                raw = one if raw is None else raw.unionByName(one)
+    return raw
+
+
 def run(files: DataFrame, vectors: DataFrame, points: DataFrame, modes: tuple[str, ...] = ("exact", "altered", "semantic"),
         altered: float = search.ALTERED_FLOOR, semantic: float = search.SEMANTIC_FLOOR, limit: int = 10, unify: bool = True, include_reference: bool = False) -> DataFrame:
     """Ranked hits per file.
@@ -82,14 +106,11 @@ def run(files: DataFrame, vectors: DataFrame, points: DataFrame, modes: tuple[st
     best score of each mode, exact hits first, limited for images only.  Not
     unified: one row per mode, unlimited after the search's own top-k.
     """
-    good = vectors.join(files.where("error is null").select("file_id"), "file_id", "left_semi")
-    floors = {"altered": altered, "semantic": semantic}
-    raw = None
-    for reference in (False, True)[: 2 if include_reference else 1]:
-        for mode in ("altered", "semantic"):
-            if mode in modes:
-                one = vector_hits(good, points, mode, floors[mode], limit, reference)
-                raw = one if raw is None else raw.unionByName(one)
+    return _ranked(files, points, _raw_hits(files, vectors, points, modes, altered, semantic, limit, include_reference), modes, limit, unify)
+
+
+def _ranked(files: DataFrame, points: DataFrame, raw: DataFrame | None, modes: tuple[str, ...], limit: int, unify: bool) -> DataFrame:
+    """Grouped, merged and ranked hits of the raw ones and the exact ones."""
     stage = F.when(F.col("is_reference"), 2).otherwise(1)
     keys = ["file_id", "query_timecode_ms", "is_reference"]
     parts = [exact_hits(files, points).select(*_HIT)] if "exact" in modes else []
@@ -116,3 +137,37 @@ def run(files: DataFrame, vectors: DataFrame, points: DataFrame, modes: tuple[st
         rows = rows.unionByName(p)
     rows = rows.withColumns({"mode": F.map_keys("scores")[0], "score": F.map_values("scores")[0]})
     return merge.rank_unmerged(rows, ["file_id"])
+
+
+def matched_frames(files: DataFrame, vectors: DataFrame, points: DataFrame, modes: tuple[str, ...] = ("exact", "altered", "semantic"),
+                   altered: float = search.ALTERED_FLOOR, semantic: float = search.SEMANTIC_FLOOR, limit: int = 10, unify: bool = True, include_reference: bool = False) -> DataFrame:
+    """The frames of the video hits that ``run`` gives for the same arguments, one row each.
+
+    Unified: ``(file_id, hit_key, timecode_ms, frame_hash, scores)``, merged over
+    query frames and modes.  Not unified: ``(file_id, query_timecode_ms, mode,
+    is_reference, video_path, timecode_ms, frame_hash, score)``, one row per hit.
+    """
+    raw = _raw_hits(files, vectors, points, modes, altered, semantic, limit, include_reference)
+    if raw is not None and unify:
+        # both the frames and the hits that they belong to come from one search
+        raw = Scratch(points.sparkSession).write(raw, "raw")
+    parts = []
+    if "exact" in modes:
+        f, _, frames = _exact_sides(files, points)
+        exact = search.exact_matched_frames(f.where("is_video").select("query_id", F.col("file_hash").alias("video_hash")), frames)
+        parts.append(exact.select(F.col("query_id").alias("file_id"), F.lit(None).cast("bigint").alias("query_timecode_ms"), F.lit(False).alias("is_reference"), "video_path", "timecode_ms",
+                                  "frame_hash", F.create_map(F.lit("exact"), F.lit(1.0)).alias("scores"), F.lit(0).cast("bigint").alias("stage"), F.lit(0).cast("bigint").alias("ord")))
+    if raw is not None:
+        # null timecodes are one group of their own, as in the search
+        filled = raw.withColumn("query_timecode_ms", F.coalesce("query_timecode_ms", F.lit(-1).cast("bigint")))
+        found = _merged_by_path(filled) if unify else filled.withColumns({"scores": F.create_map("mode", "score"), "ord": F.col("rnk").cast("bigint")})
+        parts.append(found.where(_is_frame()).select(
+            "file_id", F.nullif("query_timecode_ms", F.lit(-1).cast("bigint")).alias("query_timecode_ms"), "is_reference", "video_path", F.coalesce("frame_timecode_ms", F.lit(0).cast("bigint")).alias("timecode_ms"),
+            F.col("image_hash").alias("frame_hash"), "scores", F.when(F.col("is_reference"), 2).otherwise(1).cast("bigint").alias("stage"), F.col("ord").cast("bigint").alias("ord")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if not unify:
+        return rows.select("file_id", "query_timecode_ms", F.map_keys("scores")[0].alias("mode"), "is_reference", "video_path", "timecode_ms",
+                           F.coalesce("frame_hash", F.lit("")).alias("frame_hash"), F.map_values("scores")[0].alias("score"))
+    rows = rows.withColumn("hit_key", merge.unify_key("video_path")).withColumn("ord", F.struct("stage", "query_timecode_ms", "ord"))
+    shown = _ranked(files, points, raw, modes, limit, True).select("file_id", "hit_key")
+    return merge.merge_frames(rows, ["file_id", "hit_key"]).join(shown, ["file_id", "hit_key"], "left_semi")

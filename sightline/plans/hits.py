@@ -63,6 +63,19 @@ SELECT CASE WHEN coalesce(is_reference, false) THEN 'ref' ELSE 'case' END || ':'
     max(exact) AS exact, max(altered) AS altered, max(semantic) AS semantic FROM b GROUP BY 1"""
 
 
+def merged_frames(spark, d):
+    """Frames of every video, over all upload entries that matched it."""
+    rows = _frame_hits(spark, d).withColumn("hit_key", op.unify_key("video_path")).withColumnsRenamed({"frame_timecode_ms": "timecode_ms", "image_hash": "frame_hash"})
+    return op.merge_frames(rows, ["hit_key"]).select("hit_key", "timecode_ms", "frame_hash", *[F.element_at("scores", F.lit(m)).alias(m) for m in ("exact", "altered", "semantic")])
+
+
+QUERIES["merged_frames"] = merged_frames
+SQL["merged_frames"] = f"""WITH {FRAMES}
+SELECT CASE WHEN coalesce(is_reference, false) THEN 'ref' ELSE 'case' END || ':' || video_hash AS hit_key, coalesce(timecode_ms, 0) AS timecode_ms,
+    coalesce(arg_min(coalesce(frame_hash, ''), match_id), '') AS frame_hash, max(exact) AS exact, max(altered) AS altered, max(semantic) AS semantic
+FROM frames WHERE entry_id IS NOT NULL AND video_hash IS NOT NULL GROUP BY 1, 2"""
+
+
 def unified_ranking(spark, d):
     h = _hit_rows(spark, d)
     rows = h.join(table(spark, d, "hits").select(F.col("hit_id").alias("ord"), "query_path"), "ord")
@@ -139,3 +152,33 @@ SQL["session_search_by_mode"] = f"""WITH {_SEARCHED}
 SELECT file_id, base, false AS is_reference, 'exact' AS mode, 1.0::DOUBLE AS score FROM exact
 UNION ALL SELECT file_id, base, is_reference, mode, round(max(score), 6) FROM raw JOIN (SELECT point_id, video_path FROM library) USING (point_id) WHERE video_path IS NOT NULL GROUP BY file_id, base, is_reference, mode
 UNION ALL SELECT file_id, base, is_reference, mode, round(score, 6) FROM raw JOIN (SELECT point_id, video_path FROM library) USING (point_id) WHERE video_path IS NULL"""
+
+
+def session_frames(spark, d):
+    files, vectors = session(spark, d)
+    found = session_search.matched_frames(files, vectors, library(spark, d), include_reference=True)
+    return found.select("file_id", "hit_key", "timecode_ms", "frame_hash", *[F.round(F.element_at("scores", F.lit(m)), 6).alias(m) for m in ("exact", "altered", "semantic")])
+
+
+_FRAME_ROWS = """fr AS (
+    SELECT DISTINCT q.file_id, false AS is_reference, p.video_path, p.frame_timecode_ms AS timecode_ms, coalesce(p.image_hash, '') AS frame_hash, 'exact' AS mode, 1.0::DOUBLE AS score
+    FROM q JOIN library p ON p.video_hash = q.file_hash WHERE q.is_video AND NOT p.is_reference AND q.error IS NULL AND coalesce(p.video_path, '') <> ''
+    UNION ALL SELECT raw.file_id, raw.is_reference, l.video_path, l.frame_timecode_ms, coalesce(l.image_hash, ''), raw.mode, raw.score
+    FROM raw JOIN library l USING (point_id) WHERE coalesce(l.video_path, '') <> '')"""
+QUERIES["session_frames"] = session_frames
+SQL["session_frames"] = f"""WITH {_SEARCHED}, {_FRAME_ROWS}, k AS (
+    SELECT *, CASE WHEN is_reference THEN 'ref' ELSE 'case' END || ':' || video_path AS hit_key FROM fr)
+SELECT file_id, hit_key, timecode_ms, min(frame_hash) AS frame_hash, round(max(score) FILTER (mode = 'exact'), 6) AS exact,
+    round(max(score) FILTER (mode = 'altered'), 6) AS altered, round(max(score) FILTER (mode = 'semantic'), 6) AS semantic
+FROM k JOIN (SELECT file_id, hit_key FROM ({SQL["session_search"]})) USING (file_id, hit_key) GROUP BY ALL"""
+
+
+def session_frames_by_mode(spark, d):
+    files, vectors = session(spark, d)
+    found = session_search.matched_frames(files, vectors, library(spark, d), unify=False, include_reference=True)
+    return found.drop("query_timecode_ms").withColumn("score", F.round("score", 6))
+
+
+QUERIES["session_frames_by_mode"] = session_frames_by_mode
+SQL["session_frames_by_mode"] = f"""WITH {_SEARCHED}, {_FRAME_ROWS}
+SELECT file_id, mode, is_reference, video_path, timecode_ms, frame_hash, round(score, 6) AS score FROM fr"""

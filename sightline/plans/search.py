@@ -64,10 +64,13 @@ SQL["md5_collisions"] = f"""WITH {RECORDS}
 SELECT DISTINCT q.record_id AS query_id, p.path FROM records q JOIN records p ON q.md5 = p.md5 AND q.sha256 <> p.sha256"""
 
 
-def exact_videos(spark, d):
+def _video_query(spark, d):
     f = frames(spark, d).select("video_hash", F.concat(F.lit("/v/"), "video_hash").alias("video_path"), "frame_hash", F.col("timecode_ms").cast("string").alias("frame_timecode_ms"))
-    wanted = table(spark, d, "videos").select("video_hash").distinct().withColumn("query_id", F.col("video_hash"))
-    return op.exact_videos(wanted, f).drop("video_path")
+    return table(spark, d, "videos").select("video_hash").distinct().withColumn("query_id", F.col("video_hash")), f
+
+
+def exact_videos(spark, d):
+    return op.exact_videos(*_video_query(spark, d)).drop("video_path")
 
 
 QUERIES["exact_videos"] = exact_videos
@@ -77,6 +80,16 @@ SELECT video_hash AS query_id, count(DISTINCT timecode_ms) AS n, min(timecode_ms
 FROM frames WHERE timecode_ms IS NOT NULL AND video_hash IN (SELECT video_hash FROM videos) GROUP BY ALL"""
 
 
+def exact_matched_frames(spark, d):
+    return op.exact_matched_frames(*_video_query(spark, d)).drop("video_path")
+
+
+QUERIES["exact_matched_frames"] = exact_matched_frames
+SQL["exact_matched_frames"] = f"""WITH {FRAMES}
+SELECT video_hash AS query_id, timecode_ms, min(frame_hash) AS frame_hash
+FROM frames WHERE timecode_ms IS NOT NULL AND video_hash IN (SELECT video_hash FROM videos) GROUP BY ALL"""
+
+
 def video_timeline(spark, d):
     return frames(spark, d).where("timecode_ms is not null and video_hash is not null").groupBy("video_hash", "timecode_ms").agg(F.min("frame_hash").alias("frame_hash"))
 

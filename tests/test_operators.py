@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import dedup, embed, guard, hits, sampling, search, stats, triage
+from sightline.operators import dedup, embed, guard, hits, sampling, search, session_search, stats, triage
 from sightline.sources import files, store
 
 
@@ -74,6 +74,26 @@ def test_merging(spark):
     assert m["scores"] == {"altered": 0.95, "semantic": 0.95}
 
 
+def test_frames_of_merged_hits(spark):
+    schema = "key string, timecode_ms long, frame_hash string, scores map<string,double>, ord long"
+    data = [("k", 10, "b", {"altered": 0.7}, 2), ("k", 10, "a", {"altered": 0.9, "semantic": 0.6}, 3), ("k", 10, "c", {"semantic": 0.8}, 1), ("k", None, None, {"exact": 1.0}, 4)]
+    got = {(r["timecode_ms"], r["frame_hash"], tuple(sorted(r["scores"].items()))) for r in hits.merge_frames(spark.createDataFrame(data, schema), ["key"]).collect()}
+    assert got == {(10, "c", (("altered", 0.9), ("semantic", 0.8))), (0, "", (("exact", 1.0),))}
+
+
+def test_session_keeps_the_frames_of_video_hits(spark):
+    e1, e2 = [1.0] + [0.0] * 127, [0.9, (1 - 0.81) ** 0.5] + [0.0] * 126
+    files = spark.createDataFrame([(1, True, None, "vh")], "file_id long, is_video boolean, error string, file_hash string")
+    vectors = spark.createDataFrame([(1, 1, "altered", 100, e1), (2, 1, "altered", 200, e2), (3, 1, "semantic", 100, e1)], "q_id long, file_id long, mode string, query_timecode_ms long, vec array<double>")
+    point = "point_id long, path string, image_hash string, is_video_frame boolean, video_path string, video_hash string, frame_timecode_ms long, is_reference boolean, dino array<double>, sscd array<double>"
+    points = spark.createDataFrame([(1, "/f1", "h1", True, "/v", "vh", 5, False, e1, e1), (2, "/f2", "h2", True, "/v", "vh", 9, False, None, e2), (3, "/i", "h3", False, None, None, None, False, e1, None)], point)
+    got = {(r["hit_key"], r["timecode_ms"], r["frame_hash"]): {m: round(x, 6) for m, x in r["scores"].items()} for r in session_search.matched_frames(files, vectors, points).collect()}
+    assert got == {("case:/v", 5, "h1"): {"exact": 1.0, "altered": 1.0, "semantic": 1.0}, ("case:/v", 9, "h2"): {"exact": 1.0, "altered": 1.0}}
+    flat = session_search.matched_frames(files, vectors, points, unify=False).collect()
+    assert sorted((r["mode"], r["query_timecode_ms"] or 0, r["timecode_ms"], round(r["score"], 6)) for r in flat) == [
+        ("altered", 100, 5, 1.0), ("altered", 100, 9, 0.9), ("altered", 200, 5, 0.9), ("altered", 200, 9, 1.0), ("exact", 0, 5, 1.0), ("exact", 0, 9, 1.0), ("semantic", 100, 5, 1.0)]
+
+
 def test_unified_order(spark):
     data = [("q", "b", {"altered": 0.9}, False), ("q", "a", {"altered": 0.9}, False), ("q", "z", {"exact": 1.0}, False), ("q", "y", {"exact": 1.0, "semantic": 0.2}, False)]
     ranked = hits.rank_unified(spark.createDataFrame(data, "q string, path string, scores map<string,double>, is_reference boolean"), ["q"])

@@ -36,6 +36,8 @@ def _scored(ids: list, matrix, floor: float | None, k: int | None):
             # a query without length has cosine 0 to everything
             s = (v @ q.T) / (np.linalg.norm(v, axis=1)[:, None] * qn[None, :] + 1e-12)
             s[:, qn < 1e-12] = 0.0
+            # NaN would count as greatest in the cut
+            s[~np.isfinite(s)] = -np.inf
             keep = np.isfinite(s) if floor is None else s >= floor
             if k is not None and len(s) > k:
                 # only the batch's best of each query can be among the best of all

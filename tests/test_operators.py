@@ -278,6 +278,14 @@ def test_entry_without_llm():
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
 
 
+def test_unusable_points_do_not_displace_neighbours(spark):
+    nan, inf = float("nan"), float("inf")
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [0.0, 1.0])], "point_id long, vec array<double>").coalesce(1)
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "q long, v array<double>")
+    for floor in (None, 0.5):
+        assert sorted(r["point_id"] for r in search.top_k(queries, points, "q", "v", "point_id", "vec", floor, 2).collect()) == [1, 2]
+
+
 def test_exact_videos_skip_malformed_timecodes(spark):
     frames = spark.createDataFrame([("v", "/v", "h3", "30"), ("v", "/v", "h1", "10"), ("v", "/v", "h0", "10"), ("v", "/v", "x", "abc"), ("v", "/v", "x", None), ("v", None, "x", "5"), ("v", "", "x", "6")],
                                    "video_hash string, video_path string, frame_hash string, frame_timecode_ms string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from datetime import UTC, datetime
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.functions.media import move_prefix
+from sightline.session import get_json, put_json
 
 
 class Table:
@@ -18,31 +18,12 @@ class Table:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _get(self, name: str) -> dict | None:
-        at = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(raw)
+        return get_json(self.spark, f"{self.root}/{name}")
 
     def _put(self, name: str, value: dict) -> None:
-        """Write aside, then rename: readers see the old or the new pointer."""
-        self._fs.mkdirs(self._path(self.root))
-        aside, final = self._path(f"{self.root}/.{name}-{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
-        stream = self._fs.create(aside, True)
-        stream.write(json.dumps(value).encode())
-        stream.close()
-        self._fs.delete(final, False)
-        if not self._fs.rename(aside, final):
-            raise OSError(f"could not move the pointer of {self.root}")
+        put_json(self.spark, f"{self.root}/{name}", value)
 
     def exists(self) -> bool:
         return self._get("current.json") is not None

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sightline.llm import batch_dedup, components, topn
 
 FRAME = "match_id long, video_hash string, timecode_ms long, scores map<string,double>, grp string, id string, rank_1 int, score int"
@@ -101,10 +103,22 @@ def test_repeats_equal_the_sequential_rule(spark):
         return path and rng.choice([path, "/." + path, "/x/.." + path, "file://" + path, "/" + path, path.replace("/", "\\")])
 
     written = [(i, b, walked(p), spelled("md5", m), spelled("sha", s), 0, 0, 0, 0, 0, "l", 0) for i, b, p, m, s in rows]
-    for per_load in (1, 3, 24):
-        found = batch_dedup.repeated_records(spark.createDataFrame(written, FILE), per_load).collect()
-        assert {tuple(r) for r in found} == sequential(rows)
-        assert len(found) == len(sequential(rows))
+    table = spark.createDataFrame(written, FILE)
+    want = sequential(rows)
+    found = batch_dedup.repeated_records(table).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+    # tiny folders and ranges: the runs are cut by leading bits, batches go in pieces, levels are merged
+    small = batch_dedup.HashForest(spark, range_rows=200, range_bytes=30_000)
+    first = batch_dedup.repeated_records(table.where("batch_no < 5"), small).collect()
+    assert small.state["merges"] == 1 and max(r["bits"] for r in small.state["runs"]) > 1
+    # a later job opens the forest by its path and reads new batches only
+    again = batch_dedup.HashForest(spark, small.root, range_rows=200, range_bytes=30_000)
+    assert again.state == small.state
+    later = batch_dedup.repeated_records(table.where("batch_no >= 5"), again).collect()
+    assert {tuple(r) for r in first + later} == want and len(first + later) == len(want)
+    with pytest.raises(ValueError, match="admitted before"):
+        batch_dedup.repeated_records(table.where("batch_no = 3"), again)
 
 
 def test_no_records(spark):
@@ -114,4 +128,4 @@ def test_no_records(spark):
 def test_record_without_a_batch_comes_last(spark):
     d = "ab" * 32
     rows = [(1, None, None, None, d, *[0] * 5, "l", 0), (2, 3, None, None, d, *[0] * 5, "l", 0), (None, 1, None, None, d, *[0] * 5, "l", 0)]
-    assert [tuple(r) for r in batch_dedup.repeated_records(spark.createDataFrame(rows, FILE), 1).collect()] == [(2, 1)]
+    assert [tuple(r) for r in batch_dedup.repeated_records(spark.createDataFrame(rows, FILE)).collect()] == [(2, 1)]

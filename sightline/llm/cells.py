@@ -3,9 +3,10 @@
 A vector is made unit length and rotated at random several times.  Its cells are
 the rotated coordinates that are strongest, with their sign: vectors of a small
 angle share some of them.  Within a cell vectors are compared by one-bit codes
-of the first rotation with correction scalars; only entries with a partner that
-the error bound cannot rule out "visit" the cell with their vector, and only
-there exact cosines are computed.
+of the first rotation: the packed bits are compared by XOR and popcount, pairs
+that this cannot rule out by their estimated inner product with correction
+scalars.  Only entries with a partner that the error bound cannot rule out
+"visit" the cell with their vector, and only there exact cosines are computed.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from sightline.session import Scratch
 
-# strongest rotated coordinates that a vector is filed under, unless the caller asks for more
-CELLS_PER_VECTOR = 8
+# strongest rotated coordinates that a vector is filed under with one rotation, unless the caller asks for
+# more, and how many more for every doubling of the rotations: that keeps the share of pairs that meet
+CELLS_PER_VECTOR, CELLS_PER_DOUBLING = 8, 2
 # rotations grow with the square root of the entries: a cell's entries grow no faster
 ENTRIES_PER_SQUARED_ROTATION = 6000
 # entries of a cell that one task compares; larger cells are cut into pairs of blocks
@@ -29,7 +31,9 @@ LOAD_SAMPLE = 20_000
 # values of a matrix that a worker holds at once
 MATRIX_VALUES = 4_000_000
 # error bounds are so many times the code's standard error
-EPS = 2.0
+EPS = 2.5
+# pairs of packed codes that are compared at once: they stay in the processor's cache
+CODES_AT_ONCE = 131_072
 SEED = 20_24
 
 
@@ -42,6 +46,11 @@ def rotations_for(entries: int) -> int:
     return max(1, round((entries / ENTRIES_PER_SQUARED_ROTATION) ** 0.5))
 
 
+def cells_for(entries: int, least: int, dim: int) -> int:
+    """Cells that a vector is filed under: more with the rotations, of which each has a smaller share."""
+    return min(dim, least + round(CELLS_PER_DOUBLING * (rotations_for(entries) - 1).bit_length()))
+
+
 def _rotations(dim: int, count: int):
     import numpy as np
 
@@ -68,12 +77,13 @@ def _unit_rows(column: pa.Array, dim: int):
     return at[good], (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _record(dim: int, cells: int):
+def _record(dim: int, filed: int, count: int):
+    """Layout of a code record; cell numbers are as wide as ``count`` rotations need."""
     import numpy as np
 
     return np.dtype([
         ("id", "<i8"), ("h", "<i8"), ("sign", "u1", dim // 8), ("large", "u1", dim // 8),
-        ("alpha", "<f2"), ("beta", "<f2"), ("block", "<u2"), ("cells", "<u2", cells),
+        ("alpha", "<f2"), ("beta", "<f2"), ("block", "<u4"), ("cells", "<u2" if 2 * dim * count <= 65536 else "<u4", filed),
     ])
 
 
@@ -90,7 +100,7 @@ def _records(ids, hashes, v, turn, filed: int):
         strong = np.argpartition(-np.abs(c), take - 1, axis=1)[:, :take]
         cells[lo:lo + step] = np.sort(strong * 2 + (np.take_along_axis(c, strong, 1) > 0), axis=1)
         first[lo:lo + step] = c[:, :dim]
-    r = np.zeros(len(v), _record(dim, filed))
+    r = np.zeros(len(v), _record(dim, filed, turn.shape[1] // dim))
     sign, large = first > 0, np.abs(first) > 0.9816 / dim**0.5
     r["id"], r["h"] = ids, hashes
     r["sign"], r["large"] = np.packbits(sign, axis=1), np.packbits(large, axis=1)
@@ -121,17 +131,49 @@ def _cells_of(dim: int, count: int, filed: int) -> Callable:
     return run
 
 
-KEY_FIELD, KEY_CELL = 1 << 56, 1 << 24
+# a key: 4 bits of field, 27 of cell, 32 of the pair of blocks
+KEY_FIELD, KEY_CELL = 1 << 59, 1 << 32
+MOST_CELLS = 1 << 27
+
+
+def _pair_key(a, b):
+    """Number of an unordered pair of blocks, and back in ``_pair_of``."""
+    import numpy as np
+
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    return hi * (hi + 1) // 2 + lo
+
+
+def _pair_of(number: int) -> tuple[int, int]:
+    from math import isqrt
+
+    hi = (isqrt(8 * number + 1) - 1) // 2
+    return number - hi * (hi + 1) // 2, hi
 
 
-def _file_cells(dim: int, count: int, hot: dict[int, int], filed: int) -> Callable:
-    """Rows ``(key, n, payload)``: the code records of a batch, by cell (and pair of blocks)."""
+def _by_cell(key, r) -> pa.RecordBatch:
+    """Rows ``(key, n, payload)`` from code records and their keys."""
+    import numpy as np
+
+    order = np.argsort(key, kind="stable")
+    key, out = key[order], np.ascontiguousarray(r[order])
+    cut = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    ends = np.append(cut[1:], len(key))
+    raw, size = out.view(np.uint8).reshape(-1), r.dtype.itemsize
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[cut]), pa.array((ends - cut).astype(np.int32)),
+         pa.array([raw[a * size:b * size].tobytes() for a, b in zip(cut, ends)], pa.binary())],
+        names=["key", "n", "payload"],
+    )
+
+
+def _file_cells(dim: int, count: int, filed: int) -> Callable:
+    """Rows ``(key, n, payload)``: the code records of a batch, by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         turn = _rotations(dim, count)
-        kind = _record(dim, filed)
         for batch in batches:
             at, v = _unit_rows(batch.column(3), dim)
             if not len(at):
@@ -143,33 +185,33 @@ def _file_cells(dim: int, count: int, hot: dict[int, int], filed: int) -> Callab
             keep[1:] = (hashes[order][1:] != hashes[order][:-1]) | (field[order][1:] != field[order][:-1])
             order = order[keep]
             r = _records(ids[order], hashes[order], v[order], turn, filed)
-            keys, rows = [], []
             distinct = np.ones((len(r), filed), bool)
             distinct[:, 1:] = r["cells"][:, 1:] != r["cells"][:, :-1]
             who, which = np.nonzero(distinct)
-            key = field[order][who] * KEY_FIELD + r["cells"][who, which].astype(np.int64) * KEY_CELL
-            if hot:
-                blocks = np.array([hot.get(int(k), 1) for k in np.unique(key)])[np.searchsorted(np.unique(key), key)]
-                for n in np.unique(blocks):
-                    i = np.flatnonzero(blocks == n)
-                    mine = (hashes[order][who[i]].astype(np.uint64) % np.uint64(n)).astype(np.int64)
-                    for other in range(n):
-                        keys.append(key[i] + np.minimum(mine, other) * 4096 + np.maximum(mine, other))
-                        rows.append(np.stack([who[i], mine], 1))
-            else:
-                keys, rows = [key], [np.stack([who, np.zeros(len(who), np.int64)], 1)]
-            key, rows = np.concatenate(keys), np.concatenate(rows)
-            order2 = np.argsort(key, kind="stable")
-            key, out = key[order2], r[rows[order2, 0]]
-            out["block"] = rows[order2, 1]
-            cut = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-            ends = np.append(cut[1:], len(key))
-            raw = out.view(np.uint8).reshape(-1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[cut]), pa.array((ends - cut).astype(np.int32)),
-                 pa.array([raw[a * kind.itemsize:b * kind.itemsize].tobytes() for a, b in zip(cut, ends)], pa.binary())],
-                names=["key", "n", "payload"],
-            )
+            yield _by_cell(field[order][who] * KEY_FIELD + r["cells"][who, which].astype(np.int64) * KEY_CELL, r[who])
+
+    return run
+
+
+def _cut_cells(dim: int, count: int, filed: int) -> Callable:
+    """Rows ``(key, n, payload, blocks)`` of hot cells become rows of their pairs of blocks; others pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        kind = _record(dim, filed, count)
+        for batch in batches:
+            blocks = batch.column(3).fill_null(1).to_numpy(zero_copy_only=False)
+            cold = np.flatnonzero(blocks <= 1)
+            if len(cold):
+                yield batch.select([0, 1, 2]).take(pa.array(cold))
+            for i in np.flatnonzero(blocks > 1):
+                r, n = np.frombuffer(batch.column(2)[int(i)].as_py(), kind).copy(), int(blocks[i])
+                mine = (r["h"].astype(np.uint64) % np.uint64(n)).astype(np.int64)
+                r["block"] = mine
+                key = batch.column(0)[int(i)].as_py()
+                for other in range(n):
+                    yield _by_cell(key + _pair_key(mine, np.full(len(r), other)), r)
 
     return run
 
@@ -194,53 +236,100 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Rec
         yield key, parts
 
 
-def _visiting(r, cell: int, tile: tuple[int, int], floor: float, k: int | None, dim: int):
+def _words(bits):
+    """Packed bits as columns of 64-bit words."""
+    import numpy as np
+
+    pad = -bits.shape[1] % 8
+    whole = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, pad))) if pad else bits).view(np.uint64)
+    return [np.ascontiguousarray(whole[:, i]) for i in range(whole.shape[1])]
+
+
+def _near_codes(words: list, lo: int, hi: int, most: int):
+    """Pairs ``(i, j)`` with ``lo <= i < hi``, sorted, whose codes differ in at most ``most`` bits."""
+    import numpy as np
+
+    n = len(words[0])
+    bits, step = np.uint8 if len(words) <= 3 else np.uint16, max(1, CODES_AT_ONCE // n)
+    rows, cols = [], []
+    for a in range(lo, hi, step):
+        b = min(a + step, hi)
+        apart = np.zeros((b - a, n), bits)
+        for w in words:
+            apart += np.bitwise_count(w[a:b, None] ^ w[None, :])
+        i, j = np.nonzero(apart <= most)
+        rows.append(i + a)
+        cols.append(j)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _bits_apart(cosine: float, dim: int, eps: float) -> int:
+    """Differing bits of two codes of that cosine: the mean and ``eps`` deviations."""
+    from math import acos, pi
+
+    p = acos(max(-1.0, min(1.0, cosine))) / pi
+    return int(dim * p + eps * (dim * p * (1 - p)) ** 0.5)
+
+
+def _visiting(r, cell: int, crossed: bool, floor: float, k: int | None, dim: int, eps: float):
     """Which records of a cell have a partner that the bounds cannot rule out."""
     import numpy as np
 
-    root = dim**0.5
+    root, n = dim**0.5, len(r)
     sign = (np.unpackbits(r["sign"], axis=1).astype(np.float32) * 2 - 1) / root
     fine = sign * np.where(np.unpackbits(r["large"], axis=1) > 0, np.float32(1.510), np.float32(0.4528))
     alpha, beta = r["alpha"].astype(np.float32), r["beta"].astype(np.float32)
     sign /= alpha[:, None]
     fine /= beta[:, None]
-    # one-bit code against the finer code, both ways round: both estimate the inner product
-    bound = EPS * np.sqrt(np.maximum(1 - alpha**2, 0)) / alpha / (dim - 1) ** 0.5
-    visits = np.zeros(len(r), bool)
-    crossed = tile[0] != tile[1]
-    step = rows_at_once(len(r))
-    for lo in range(0, len(r), step):
-        rows = slice(lo, min(lo + step, len(r)))
-        e = (sign[rows] @ fine.T + fine[rows] @ sign.T) / 2
-        e[np.arange(e.shape[0]), np.arange(lo, lo + e.shape[0])] = -2
+    bound = eps * np.sqrt(np.maximum(1 - alpha**2, 0)) / alpha / (dim - 1) ** 0.5
+    words, most = _words(r["sign"]), _bits_apart(floor, dim, eps)
+    visits = np.zeros(n, bool)
+    step = rows_at_once(n)
+    for lo in range(0, n, step):
+        i, j = _near_codes(words, lo, min(lo + step, n), most)
+        go = i != j
         if crossed:
-            e[r["block"][rows][:, None] == r["block"][None, :]] = -2
-        slack = np.maximum(bound[rows][:, None], bound[None, :])
-        least = np.full(e.shape[0], floor, np.float32)
-        if k is not None and len(r) > k:
-            lower = np.partition(e - slack, -k, axis=1)[:, -k]
-            least = np.maximum(least, lower)
-        i, j = np.nonzero(e + slack >= least[:, None])
+            go &= r["block"][i] != r["block"][j]
+        i, j = i[go], j[go]
+        upper, lower = np.empty(len(i), np.float32), np.empty(len(i), np.float32)
+        part = max(1, MATRIX_VALUES // dim)
+        for a in range(0, len(i), part):
+            x, y = i[a:a + part], j[a:a + part]
+            # one-bit code against the finer code, both ways round: both estimate the inner product
+            e = (np.einsum("ij,ij->i", sign[x], fine[y]) + np.einsum("ij,ij->i", fine[x], sign[y])) / 2
+            slack = np.maximum(bound[x], bound[y])
+            upper[a:a + part], lower[a:a + part] = e + slack, e - slack
+        go = upper >= floor
+        if k is not None and go.any():
+            i, j, upper, lower = i[go], j[go], upper[go], lower[go]
+            # a query's partner must be able to reach the k-th best lower bound
+            best = np.lexsort((-lower, i))
+            first = np.searchsorted(i, np.arange(lo, min(lo + step, n) + 1))
+            least = np.full(len(first) - 1, -2, np.float32)
+            many = np.flatnonzero(np.diff(first) > k)
+            least[many] = lower[best][first[many] + k - 1]
+            go = upper >= least[i - lo]
+        i, j = i[go], j[go]
         if not len(i):
             continue
         # a pair belongs to the first of the cells it shares
-        a, b = r["cells"][lo + i], r["cells"][j]
+        a, b = r["cells"][i], r["cells"][j]
         first = np.ones(len(i), bool)
         for p in range(a.shape[1]):
             low = a[:, p] < cell
             if low.any():
                 for q in range(b.shape[1]):
                     first &= ~(low & (a[:, p] == b[:, q]))
-        visits[lo + i[first]] = True
+        visits[i[first]] = True
         visits[j[first]] = True
     return visits
 
 
-def _visits(dim: int, floor: dict[int, float], k: int | None, filed: int) -> Callable:
+def _visits(dim: int, floor: dict[int, float], k: int | None, filed: int, count: int, eps: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        kind = _record(dim, filed)
+        kind = _record(dim, filed, count)
         for key, parts in by_key(batches):
             r = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist()), kind)
             order = np.lexsort((r["id"], r["h"]))
@@ -248,8 +337,8 @@ def _visits(dim: int, floor: dict[int, float], k: int | None, filed: int) -> Cal
             r = r[np.diff(r["h"], prepend=r["h"][0] - 1) != 0]
             if len(r) < 2:
                 continue
-            tile = divmod(key % KEY_CELL, 4096)
-            go = _visiting(r, key % KEY_FIELD // KEY_CELL, tile, floor[key // KEY_FIELD], k, dim)
+            one, other = _pair_of(key % KEY_CELL)
+            go = _visiting(r, key % KEY_FIELD // KEY_CELL, one != other, floor[key // KEY_FIELD], k, dim, eps)
             n = int(go.sum())
             if n:
                 yield pa.RecordBatch.from_arrays(
@@ -292,8 +381,9 @@ def unpacked(parts: list[pa.RecordBatch], column: int, dim: int):
 class CellSearch:
     """Search over the usable vectors of ``fields`` (column name -> floor cosine)."""
 
-    def __init__(self, entries: DataFrame, entry_id: str, fields: dict[str, float], dim: int, cells: int = CELLS_PER_VECTOR, scratch: Scratch | None = None):
-        self.dim, self.fields, self.cells = dim, list(fields), cells
+    def __init__(self, entries: DataFrame, entry_id: str, fields: dict[str, float], dim: int, cells: int = CELLS_PER_VECTOR,
+                 eps: float = EPS, scratch: Scratch | None = None):
+        self.dim, self.fields, self.eps = dim, list(fields), eps
         self.floors = dict(enumerate(fields.values()))
         self.scratch = scratch or Scratch(entries.sparkSession)
         parts = [
@@ -306,6 +396,9 @@ class CellSearch:
         for p in parts[1:]:
             self.vectors = self.vectors.union(p)
         self.entries = entries.count()
+        self.count, self.cells = rotations_for(self.entries), cells_for(self.entries, cells, dim)
+        if 2 * dim * self.count > MOST_CELLS or len(fields) > 16:
+            raise ValueError("more cells or fields than a key can hold")
 
     def usable(self) -> DataFrame:
         """``(field, id, h)`` of the usable vectors; equal ``h``: copies of one vector."""
@@ -316,22 +409,24 @@ class CellSearch:
 
     def visits(self, k: int | None) -> DataFrame:
         """``(field, id, key)``: distinct vectors (smallest id) and the cells they must be compared in."""
-        count = rotations_for(self.entries)
-        hot: dict[int, int] = {}
+        file = _file_cells(self.dim, self.count, self.cells)
+        schema = "key long, n int, payload binary"
+        filed = self.vectors.mapInArrow(file, schema)
         if self.entries > BLOCK:
             share = max(1, self.entries // LOAD_SAMPLE)
             part = self.vectors.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
-            loads = part.mapInArrow(_file_cells(self.dim, count, {}, self.cells), "key long, n int, payload binary").groupBy("key").agg(F.sum("n").alias("n"))
-            # at most entries * cells / BLOCK rows
-            hot = {r["key"]: min(4095, -(-r["n"] * share // BLOCK)) for r in loads.where(F.col("n") * share > BLOCK).collect()}
-        filed = self.vectors.mapInArrow(_file_cells(self.dim, count, hot, self.cells), "key long, n int, payload binary")
+            loads = part.mapInArrow(file, schema).groupBy("key").agg((F.sum("n") * share).alias("n")).where(F.col("n") > BLOCK)
+            # how many blocks a hot cell is cut into: a table, as it grows with the entries
+            hot = self.scratch.write(loads.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "hot")
+            if not hot.isEmpty():
+                filed = filed.join(hot, "key", "left").select("key", "n", "payload", "blocks").mapInArrow(_cut_cells(self.dim, self.count, self.cells), schema)
         found = filed.repartition("key").sortWithinPartitions("key").mapInArrow(
-            _visits(self.dim, self.floors, k, self.cells), "field int, id long, key long")
+            _visits(self.dim, self.floors, k, self.cells, self.count, self.eps), "field int, id long, key long")
         return self.scratch.write(found, "visits")
 
     def filed(self) -> DataFrame:
         """``(field, id, cells)``: every usable vector with all cells that it is filed under."""
-        found = self.vectors.mapInArrow(_cells_of(self.dim, rotations_for(self.entries), self.cells), "field int, id long, cells array<int>")
+        found = self.vectors.mapInArrow(_cells_of(self.dim, self.count, self.cells), "field int, id long, cells array<int>")
         return found.withColumn("cells", F.array_distinct("cells"))
 
     def packed(self) -> DataFrame:

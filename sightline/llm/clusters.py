@@ -21,8 +21,9 @@ from sightline.llm.cells import BLOCK, CellSearch, by_key, rows_at_once, unpacke
 from sightline.session import Scratch
 
 
-# cells of an entry: a member that no cell shows with another would break its whole cluster
-CELLS = 12
+# cells of an entry (more with the rotations) and width of the error bounds: a link that no cell shows, inside a
+# cluster or to an entry outside, would make a wrong cluster
+CELLS, EPS = 12, 3.0
 
 
 def _groups_of_cell(dim: int, floor: float) -> Callable:
@@ -57,6 +58,43 @@ def _groups_of_cell(dim: int, floor: float) -> Callable:
     return run
 
 
+def _sums(dim: int) -> Callable:
+    """``(label, pos, total, n)``: sums of the unit vectors of a label, per task, from ``(label, vec)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels, v = batch.column(0).to_numpy(zero_copy_only=False), unpacked([batch], 1, dim).astype(np.float64)
+            order = np.argsort(labels, kind="stable")
+            cut = np.flatnonzero(np.diff(labels[order], prepend=labels[order][0] - 1))
+            total = np.add.reduceat(v[order], cut, axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(labels[order][cut], dim)), pa.array(np.tile(np.arange(dim, dtype=np.int32), len(cut))), pa.array(total.reshape(-1))],
+                names=["label", "pos", "total"])
+
+    return run
+
+
+def _angles(dim: int) -> Callable:
+    """``(label, id, angle)`` of members to their label's centre, from ``(label, id, vec, centre)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = np.array(batch.column(3).to_pylist(), np.float64)
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+            s = np.einsum("ij,ij->i", unpacked([batch], 2, dim).astype(np.float64), c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.arccos(np.clip(s, -1, 1)))], names=["label", "id", "angle"])
+
+    return run
+
+
 def _dissimilar(dim: int, floor: float) -> Callable:
     """``(label)``: labels with two members (of the two blocks of a tile) that are not similar."""
 
@@ -80,6 +118,28 @@ def _dissimilar(dim: int, floor: float) -> Callable:
     return run
 
 
+def _rim(known: DataFrame, search: CellSearch, floor: float) -> DataFrame:
+    """``(label, id, vectors)``: the members of large labels that have to be compared in pairs.
+
+    Two members whose angles to the label's centre add up to no more than the
+    angle of ``floor`` are similar for certain.  A member that passes so with
+    the farthest one passes with all: only the others, the rim, are compared,
+    and they only among themselves.  A centre costs one pass over the members.
+    """
+    scratch, dim = search.scratch, search.dim
+    large = known.where(F.col("vectors") > BLOCK).select("label", F.col("rep").alias("id"))
+    placed = scratch.write(search.packed().join(large, "id").select("label", "id", "vec"), "large")
+    sums = placed.select("label", "vec").mapInArrow(_sums(dim), "label long, pos int, total double")
+    per = sums.groupBy("label", "pos").agg(F.sum("total").alias("total"))
+    centre = per.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "total"))), lambda x: x["total"]).alias("centre"))
+    angles = scratch.write(placed.join(centre, "label").select("label", "id", "vec", "centre").mapInArrow(_angles(dim), "label long, id long, angle double"), "angles")
+    # a little less than the angle, for rounding
+    enough = F.acos(F.lit(floor)) - 1e-4
+    far = angles.groupBy("label").agg(F.max("angle").alias("most"))
+    rim = scratch.write(angles.join(far, "label").where(F.col("angle") + F.col("most") > enough).select("label", "id"), "rim")
+    return rim.join(rim.groupBy("label").agg(F.count("*").alias("vectors")), "label")
+
+
 def _propagated(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Smallest id over ``links(id, first)`` to convergence: ``(id, label)``."""
     pairs = links.distinct()
@@ -109,10 +169,11 @@ def similar_clusters(entries: DataFrame, entry_id: str, column: str, floor: floa
     table gives no rows.  ``filed`` has every member, copies too, with all cells
     that its vector lies in.
 
-    The final check compares all members of a label in blocks: a label of ``m``
-    distinct vectors takes ``(m / BLOCK)^2 / 2`` tasks of bounded size.
+    The final check compares the members of a label: all of them, or in a label
+    of more than ``BLOCK`` distinct vectors those that lie too far from its
+    centre for that to prove anything (``_rim``), in tiles of bounded size.
     """
-    search = CellSearch(entries, entry_id, {column: floor}, dim, CELLS)
+    search = CellSearch(entries, entry_id, {column: floor}, dim, CELLS, EPS)
     scratch = search.scratch
     dense = scratch.write(search.compared(search.visits(None), _groups_of_cell(dim, floor), "key long, id long, first long"), "dense")
     label = _propagated(dense.select("id", "first"), scratch)
@@ -123,10 +184,12 @@ def similar_clusters(entries: DataFrame, entry_id: str, column: str, floor: floa
     sizes = reps.groupBy("label").agg(F.sum("n").alias("size"), F.count("*").alias("vectors")).where("size >= 3")
     known = scratch.write(reps.join(sizes, "label"), "known")
 
+    pairs = known.where(F.col("vectors").between(2, BLOCK)).select("label", F.col("rep").alias("id"), "vectors")
+    if not known.where(F.col("vectors") > BLOCK).isEmpty():
+        pairs = pairs.unionByName(_rim(known, search, floor))
     tiles = F.greatest(F.lit(1), F.ceil(F.col("vectors") / BLOCK).cast("int"))
-    mine = F.pmod(F.xxhash64("rep"), tiles).cast("int")
     spread = (
-        known.where("vectors > 1").select("label", F.col("rep").alias("id"), mine.alias("block"), tiles.alias("tiles"))
+        pairs.select("label", "id", F.pmod(F.xxhash64("id"), tiles).cast("int").alias("block"), tiles.alias("tiles"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("id", "label", "block", F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
     )

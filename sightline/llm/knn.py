@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.llm.cells import KEY_FIELD, CellSearch, by_key, rows_at_once, unpacked
+from sightline.llm.cells import KEY_FIELD, CellSearch, _rotations, _unit_rows, _words, by_key, rows_at_once, unpacked
+from sightline.session import Scratch
+
+# queries that go out at once, and standard errors of a scan's bound
+QUERY_BLOCK, SCAN_EPS = 2048, 3.0
 
 
 def _nearest(dim: int, floors: dict[int, float], k: int) -> Callable:
@@ -88,6 +93,109 @@ def most_similar(entries: DataFrame, entry_id: str, fields: dict[str, float], k:
     return singles.unionByName(mine).select(name.alias("field"), F.col("a").alias("entry"), F.col("b").alias("neighbour"), "cosine")
 
 
+def _code(v, turn):
+    """Packed signs of rotated unit vectors and the scalar that corrects an estimate: ``(bits, alpha)``."""
+    import numpy as np
+
+    c = v @ turn
+    return np.packbits(c > 0, axis=1), (np.abs(c).sum(1) / v.shape[1] ** 0.5).astype(np.float32)
+
+
+# levels of a query's value and, for each, a plane of bits
+PLANES = 4
+# pairs of a query and a code that are estimated at once
+SCANNED = 1_000_000
+
+
+def _scan(dim: int, qids: list, qvecs: bytes, k: int, eps: float) -> Callable:
+    """``(q, id, cosine)``: of each Arrow batch, the ``k`` best for every query, chosen by the codes' bounds.
+
+    A query is rotated and rounded to ``PLANES`` bits a value; its product with a
+    code is the sum of the popcounts of the code with each plane.  Divided by
+    the code's ``alpha`` it estimates the cosine; the bound is ``eps`` standard
+    errors.  A vector is reranked exactly if its upper bound reaches the k-th
+    best lower bound of the batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        turn = _rotations(dim, 1)
+        ids, q = np.asarray(qids, np.int64), np.frombuffer(qvecs, "<f4").reshape(-1, dim)
+        rotated = q @ turn
+        low = rotated.min(1, keepdims=True)
+        step = np.maximum(rotated.max(1, keepdims=True) - low, 1e-9) / (2**PLANES - 1)
+        level = np.rint((rotated - low) / step).astype(np.uint8)
+        planes = [_words(np.packbits(level >> b & 1, axis=1)) for b in range(PLANES)]
+        total = rotated.sum(1)
+        for batch in batches:
+            at, v = _unit_rows(batch.column(1), dim)
+            if not len(at):
+                continue
+            mine = batch.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
+            bits, alpha = _code(v, turn)
+            words = _words(bits)
+            ones = sum(np.bitwise_count(w).astype(np.float32) for w in words)
+            slack = eps * np.sqrt(np.maximum(1 - alpha**2, 0)) / alpha / (dim - 1) ** 0.5
+            out = []
+            some = max(1, SCANNED // len(v))
+            for a in range(0, len(q), some):
+                part = slice(a, min(a + some, len(q)))
+                met = np.zeros((part.stop - a, len(v)), np.float32)
+                for b, plane in enumerate(planes):
+                    for x, w in zip(plane, words):
+                        met += np.bitwise_count(x[part, None] & w[None, :]) * np.float32(1 << b)
+                # the code is +1 or -1 over root(dim): twice the sum over its ones, less the sum over all
+                inner = (2 * (step[part] * met + low[part] * ones[None, :]) - total[part, None]) / dim**0.5
+                e = inner / alpha[None, :]
+                e[ids[part, None] == mine[None, :]] = -9
+                least = np.full(len(e), -2, np.float32)
+                if len(v) > k:
+                    least = np.partition(e - slack[None, :], -k, axis=1)[:, -k]
+                i, j = np.nonzero((e + slack[None, :] >= least[:, None]) & (e > -9))
+                c = np.einsum("ij,ij->i", q[a + i], v[j], dtype=np.float64)
+                best = np.lexsort((mine[j], -np.round(c, 6), i))
+                i, j, c = i[best], j[best], c[best]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                out.append((ids[a + i[rank < k]], mine[j[rank < k]], c[rank < k]))
+            q_, j_, c_ = (np.concatenate(x) for x in zip(*out))
+            if len(q_):
+                yield pa.RecordBatch.from_arrays([pa.array(q_), pa.array(j_), pa.array(c_)], names=["q", "id", "cosine"])
+
+    return run
+
+
+def nearest_to(queries: DataFrame, entries: DataFrame, entry_id: str, column: str, k: int = 5, dim: int = 128, eps: float = SCAN_EPS) -> DataFrame:
+    """``(entry, neighbour, cosine)``: the ``k`` most similar others of each query, whatever their cosine.
+
+    ``queries`` and ``entries`` have ``entry_id`` and ``column``; a query is not its own
+    neighbour.  The stated query set goes out in blocks of ``QUERY_BLOCK``
+    vectors, every entry is coded and streams past, unshuffled; each Arrow batch
+    passes on ``k`` rows a query.  Unusable vectors take part in nothing; ties go
+    to the smaller id; an empty table gives no rows.
+    """
+    import numpy as np
+
+    spark, scratch = entries.sparkSession, Scratch(entries.sparkSession)
+    pick = lambda df: df.select(F.col(entry_id).cast("bigint").alias("id"), F.col(column).cast("array<float>").alias("vec")).where("id is not null and vec is not null")
+    asked = scratch.write(pick(queries).dropDuplicates(["id"]), "asked")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = []
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        if rows.num_rows:
+            at, v = _unit_rows(rows.column("vec"), dim)
+            ids = rows.column("id").to_numpy()[at].tolist()
+            near = pick(entries).mapInArrow(_scan(dim, ids, v.astype("<f4").tobytes(), k, eps), "q long, id long, cosine double")
+            # written block by block: one block's vectors are held at a time
+            found.append(scratch.write(near, "near"))
+    if not found:
+        return spark.createDataFrame([], "entry long, neighbour long, cosine double")
+    once = reduce(DataFrame.union, found).groupBy("q", "id").agg(F.max("cosine").alias("cosine"))
+    best = Window.partitionBy("q").orderBy(F.desc(F.round("cosine", 6)), "id")
+    return once.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select(F.col("q").alias("entry"), F.col("id").alias("neighbour"), "cosine")
+
+
 def similar_pairs(entries: DataFrame, entry_id: str, fields: dict[str, float], names: dict[str, str], k: int = 5, dim: int = 128) -> DataFrame:
     """``(field, entry_a, entry_b)``: pairs in which one is among the ``k`` most similar of the other."""
     found = most_similar(entries, entry_id, fields, k, dim)

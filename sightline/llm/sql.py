@@ -2,7 +2,35 @@
 
 from __future__ import annotations
 
+# vectors of query_files that are usable, and all their pairs: brute force
+_VECTORS = """
+        each_field AS (
+            SELECT 'dino' AS field, entry_id, dino_embedding::DOUBLE[] AS v FROM query_files
+            UNION ALL SELECT 'sscd', entry_id, sscd_embedding::DOUBLE[] FROM query_files),
+        vectors AS (
+            SELECT * FROM each_field WHERE len(v) = 128 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 128
+                AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        pairs AS (
+            SELECT a.field, a.entry_id AS a, b.entry_id AS b, list_cosine_similarity(a.v, b.v) AS cosine
+            FROM vectors a JOIN vectors b ON a.field = b.field AND a.entry_id <> b.entry_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY field, a ORDER BY round(cosine, 6) DESC, b) AS rn FROM pairs)"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"""
+        WITH {_VECTORS},
+        around AS (
+            SELECT a, list_sort(list_append(list(b), a)) AS members FROM pairs
+            WHERE field = 'dino' AND cosine >= 0.65 GROUP BY a),
+        alike AS (SELECT members FROM around GROUP BY members HAVING count(*) = len(members) AND len(members) >= 3)
+        SELECT members[1] AS cluster_id, unnest(members) AS entry_id FROM alike""",
+    "p3_found": f"""
+        WITH {_VECTORS}
+        SELECT DISTINCT field, least(a, b) AS entry_a, greatest(a, b) AS entry_b FROM ranked
+        WHERE rn <= 5 AND cosine >= CASE field WHEN 'dino' THEN 0.65 ELSE 0.75 END""",
+    "p3_neighbours": f"""
+        WITH {_VECTORS}
+        SELECT field, a AS entry, b AS neighbour, round(cosine, 4) AS cosine FROM ranked WHERE rn <= 5 AND a % 100 = 0""",
     "p2_found": """
         WITH scored AS (
             SELECT lower(regexp_replace(video_hash, '^\\s+|\\s+$', '', 'g')) AS video_hash, match_id,

@@ -138,6 +138,38 @@ def test_many_copies_keep_the_smallest_ids(spark):
     assert sorted(mine[3]) == [1, 2, 4, 5, 6]
 
 
+def test_nearest_of_a_query_set(spark, vectors, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(knn, "SCANNED", 300)
+    table = entries(spark, vectors).repartition(5)
+    rows = knn.nearest_to(table.where("entry_id % 4 = 0"), table, "entry_id", "dino").collect()
+    ids, m = unit(vectors)
+    s = m @ m.T
+    want, got = set(), {(r["entry"], r["neighbour"]) for r in rows}
+    for r, i in enumerate(ids):
+        if i % 4 == 0:
+            want |= {(i, j) for _, j in sorted((-round(s[r, c], 6), j) for c, j in enumerate(ids) if j != i)[:5]}
+    assert len(rows) == len(got) == len(want) and len(got & want) >= 0.97 * len(want)
+    cosine = {(ids[a], ids[b]): s[a, b] for a in range(len(ids)) for b in range(len(ids))}
+    assert all(abs(r["cosine"] - cosine[r["entry"], r["neighbour"]]) < 1e-5 for r in rows)
+    assert knn.nearest_to(table.limit(0), table, "entry_id", "dino").count() == 0
+    assert knn.nearest_to(table, table.limit(0), "entry_id", "dino").count() == 0
+
+
+def test_codes_and_keys():
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 256, (50, 16), dtype=np.uint8)
+    i, j = cells._near_codes(cells._words(bits), 10, 30, 55)
+    apart = np.unpackbits(bits[10:30, None] ^ bits[None], axis=2).sum(2)
+    assert set(zip(i.tolist(), j.tolist())) == {(a + 10, b) for a, b in zip(*np.nonzero(apart <= 55))}
+    for pair in ((0, 0), (3, 70_000), (90_000, 90_001)):
+        key = int(cells._pair_key(np.array(pair[0]), np.array(pair[1])))
+        assert cells._pair_of(key) == pair and key < cells.KEY_CELL
+    assert cells.cells_for(1000, 8, 128) == 8 and cells.cells_for(96_000, 8, 128) == 12
+    wide = cells._record(128, 8, 300)
+    assert wide["cells"].base == np.dtype("<u4") and cells._record(128, 8, 256)["cells"].base == np.dtype("<u2")
+
+
 def test_hot_cell_is_cut_into_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     v = planted(rng, [150, 30], 0.5)

@@ -35,7 +35,7 @@ MERGE_RUNS = 4
 # rows of a run that share a folder of leading bits, about, and how many bits name folders at most
 RANGE_ROWS, RANGE_BITS = 4_000_000, 12
 # bytes that one range of a batch may take where it is broadcast, and bytes of an entry there
-RANGE_BYTES, ENTRY_BYTES = 64 << 20, 100
+RANGE_BYTES, ENTRY_BYTES = 64 << 20, 320
 LAST_BATCH = 2**31 - 1
 HAS_SHA, HAS_MD5 = 1, 2
 LEAVES = [f"first_{kinds}" for kinds in range(4)]

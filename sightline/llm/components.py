@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.session import Scratch
 
-# frontier rounds of the peel; what the frontier has not reached by then is left
-# to the contraction, into which the peeled part enters as one vertex
-PEEL_ROUNDS = 6
+# the peel goes on while its frontier doubles or holds that share of all linked vertices; then the rest is
+# left to the contraction, into which the peeled part enters as one vertex
+PEEL_SHARE = 0.02
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -38,12 +39,14 @@ def _relabelled(edges: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, peel_share: float = PEEL_SHARE) -> DataFrame:
     """Label every vertex of ``edges(a bigint, b bigint)`` with one vertex of its component.
 
     First the component around the highest-degree vertex is peeled: its frontier
     is widened by joins with the links, and every link inside is anti-joined
-    away.  The remaining components are labelled by minimum propagation on
+    away.  It goes on while the frontier at least doubles or holds ``peel_share``
+    of all vertices, so there are no more than ``log2(vertices) + 1 / peel_share``
+    rounds and a thin chain that hangs on the component costs none.  The remaining components are labelled by minimum propagation on
     contracted graphs: each vertex points at the smallest vertex in its
     neighbourhood, pointers are doubled, and the links are rewritten between the
     pointed-at vertices.  Vertex ids should be hashes, so that a chain of any
@@ -61,22 +64,27 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
     links = scratch.write(_undirected(edges), "links")
     maps: list[DataFrame] = []
 
-    top = (
+    start = (
         _both_ways(links).groupBy("a").agg(F.count("*").alias("n"))
-        .agg(F.max_by("a", F.struct("n", "a")).alias("v")).first()["v"]
+        .agg(F.max_by("a", F.struct("n", "a")).alias("v"), F.count("*").alias("vertices")).first()
     )
+    top, vertices = start["v"], start["vertices"]
     if top is not None:
         frontier = scratch.write(spark.range(1).select(F.lit(top).alias("v")), "frontier")
-        parts, done = [frontier], False
-        for _ in range(PEEL_ROUNDS):
+        parts, done, before = [frontier], False, 1
+        while True:
             nearby = _both_ways(links).join(frontier.withColumnRenamed("v", "a"), "a", "left_semi")
             # a frontier's neighbours lie in the frontier, the one before, or beyond
             known = reduce(DataFrame.union, parts[-2:])
             frontier = scratch.write(nearby.select(F.col("b").alias("v")).distinct().join(known, "v", "left_anti"), "frontier")
-            if frontier.isEmpty():
+            reached = frontier.count()
+            if not reached:
                 done = True
                 break
             parts.append(frontier)
+            if reached < 2 * before and reached < peel_share * vertices:
+                break
+            before = reached
         peeled = scratch.write(reduce(DataFrame.union, parts), "peeled")
         named = scratch.write(peeled.select("v", F.lit(top).alias("to")), "named")
         maps.append(named)
@@ -128,7 +136,7 @@ def linked_files(hits: DataFrame, limits: dict[str, float]) -> tuple[DataFrame,
         s = F.element_at("scores", F.lit(mode))
         good = good | (s.isNotNull() & ~F.isnan(s) & (s >= F.lit(limit)))
     h = hits.select(
-        "query_path", "path", F.coalesce(good, F.lit(False)).alias("good"),
+        F.col("query_path").cast("string").alias("query_path"), F.col("path").cast("string").alias("path"), F.coalesce(good, F.lit(False)).alias("good"),
         clean_digest("query_hash", 64).alias("qd"), clean_digest("image_hash", 64).alias("pd"),
     )
     ends = h.select(
@@ -137,14 +145,45 @@ def linked_files(hits: DataFrame, limits: dict[str, float]) -> tuple[DataFrame,
             F.struct(F.col("path").alias("path"), F.col("pd").alias("digest")),
         )).alias("e")
     ).select("e.*").where("path is not null").distinct()
-    node = lambda c: F.xxhash64(F.lit("path"), c)
-    by_score = h.where("good").select(node(F.col("query_path")).alias("a"), node(F.col("path")).alias("b"),
-                                      (F.col("query_path").isNotNull() & F.col("path").isNotNull()).alias("ok"))
-    by_digest = ends.where("digest is not null").select(
-        node(F.col("path")).alias("a"), F.xxhash64(F.lit("digest"), "digest").alias("b")
-    )
-    files = ends.select("path").distinct().select("path", node(F.col("path")).alias("v"))
-    return files, by_score.where("ok").select("a", "b").union(by_digest)
+    files, node = _numbered(ends)
+    by_score = h.where("good and query_path is not null and path is not null").select(
+        node("path", F.col("query_path")).alias("a"), node("path", F.col("path")).alias("b"))
+    by_digest = ends.where("digest is not null").select(node("path", F.col("path")).alias("a"), node("digest", F.col("digest")).alias("b"))
+    return files, by_score.union(by_digest)
+
+
+def _numbered(ends: DataFrame) -> tuple[DataFrame, Callable[[str, Column], Column]]:
+    """``files(path, v)`` and the vertex number of a path or digest: a 64-bit hash that no two share.
+
+    Numbers are hashes, so no join is needed to give them out.  Two names with
+    one hash (of ``n`` names about ``n^2 / 2^65`` pairs: one pair in six billion)
+    are looked for, and all but the first of them are hashed again; that list is
+    what reaches the driver.
+    """
+    scratch, again = Scratch(ends.sparkSession), {}
+    names = scratch.write(
+        ends.select(F.lit("path").alias("kind"), F.col("path").alias("name"))
+        .union(ends.where("digest is not null").select(F.lit("digest"), "digest")).distinct(), "names")
+
+    def node(kind: str | Column, name: Column) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        number = _number(kind, name)
+        for turn, clashing in again.items():
+            number = F.when(F.struct(kind.alias("kind"), name.alias("name")).isin([F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, n in clashing]),
+                            F.xxhash64(F.lit(turn), kind, name)).otherwise(number)
+        return number
+
+    while True:
+        called = names.select("kind", "name", node(F.col("kind"), F.col("name")).alias("v"))
+        shared = called.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("kind", "name")).alias("first")).where("n > 1")
+        clashing = called.join(shared, "v").where(F.struct("kind", "name") != F.col("first")).select("kind", "name").collect()
+        if not clashing:
+            return called.where("kind = 'path'").select(F.col("name").alias("path"), "v"), node
+        again[len(again) + 1] = [tuple(r) for r in clashing]
+
+
+def _number(kind: Column, name: Column) -> Column:
+    return F.xxhash64(kind, name)
 
 
 def match_groups(hits: DataFrame, limits: dict[str, float]) -> DataFrame:

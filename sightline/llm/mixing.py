@@ -3,10 +3,12 @@
 The documents of a source, in a fixed pseudorandom order, are one stream of
 tokens cut into blocks of fixed length.  The mix has as many block slots as the
 documents have blocks' worth of tokens; slots are grouped into shards, each
-shard draws its slots' sources from a multinomial of the target shares, and the
-k-th slot of a source takes block ``perm(pass, k mod blocks)`` in pass
-``k div blocks``.  Passes beyond ``max_uses`` stay empty, which is the shortfall
-that the report shows.
+shard draws its slots' sources from a multinomial, and the k-th slot of a source
+takes block ``perm(pass, k mod blocks)`` in pass ``k div blocks``.  The shares of
+the draw are the target shares, but a source whose passes end before that gets
+no more than its passes hold and the others take its place in proportion, and
+slots that a draw gives it beyond its last pass are drawn again among the
+others: the mix is as large as asked.  The report shows the shares reached.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from sightline.llm.running import running_total
 from sightline.llm.tokens import DEFAULT_VOCABULARY, token_count
 from sightline.session import Scratch
 
+# deviations of a source's number of drawn slots that count as chance
+SIGMAS = 6
 BLOCK_TOKENS = 1024
 SHARD_SLOTS = 4096
 
@@ -55,6 +59,19 @@ def permuted(index, size, key):
     return x.astype(np.int64)
 
 
+def drawn_shares(wanted: list[float], capacity: list[int], slots: int) -> tuple[list[float], set[int]]:
+    """Shares of the draw, and which sources are short: those get what their passes hold, the others the rest in proportion."""
+    shares, short = list(wanted), set()
+    room = [c / slots for c in capacity]
+    while True:
+        more = {i for i, x in enumerate(shares) if i not in short and x > room[i]}
+        if not more:
+            return shares, short
+        short |= more
+        left, rest = 1.0 - sum(room[i] for i in short), sum(w for i, w in enumerate(wanted) if i not in short)
+        shares = [room[i] if i in short else (w / rest * left if rest > 0 else 0.0) for i, w in enumerate(wanted)]
+
+
 def source_sizes(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """Sized documents ``(doc_id, source, tokens)`` and one row of totals per target source."""
     sized = Scratch(docs.sparkSession).write(
@@ -79,7 +96,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = DE
 
     Mix: ``(shard, slot, source, pass, block, doc_id, first_token, tokens)``, one
     row per piece of a document in a filled slot.  Report: one row per target
-    source with the wanted and reached share, the uses and whether it is short.
+    source with the wanted and reached share, the uses, whether its passes ran
+    out in the draw (or came within chance of it) and whether it is short: all
+    its tokens, used as often as allowed, are less than its share.
     Documents of sources without a target and texts without tokens add to the
     total but are not used; a target source without documents is reported with
     nothing reached.  Targets are a small fixed table (one row per source), the
@@ -87,6 +106,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = DE
     shares that do not sum to 1 are scaled.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     sized, sizes = source_sizes(docs, targets, vocabulary)
     plan = sizes.collect()
     total = plan[0]["total_tokens"] if plan else 0
@@ -97,7 +117,14 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = DE
     blocks = {r["source"]: -(-r["tokens"] // BLOCK_TOKENS) for r in plan}
     uses = {r["source"]: r["max_uses"] for r in plan}
     slots = -(-total // BLOCK_TOKENS) if weight else 0
+    capacity = [blocks[n] * uses[n] for n in names]
     shards = -(-slots // SHARD_SLOTS)
+    odds, short = drawn_shares(shares, capacity, slots) if slots and shares else (shares, set())
+    # what no source can fill is left empty; slots drawn again go to sources that have room
+    odds = [*odds, max(0.0, 1.0 - sum(odds))]
+    odds = [x / sum(odds) for x in odds]
+    again = [0.0 if i in short else x for i, x in enumerate(odds[:-1])]
+    again = [x / sum(again) for x in again] if sum(again) > 0 else None
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -105,25 +132,44 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = DE
         for ids in batches:
             for shard in ids["id"]:
                 n = min(SHARD_SLOTS, slots - shard * SHARD_SLOTS)
-                counts = np.random.default_rng([seed, int(shard)]).multinomial(n, shares)
+                counts = np.random.default_rng([seed, int(shard)]).multinomial(n, odds)[:-1]
+                yield pd.DataFrame({"shard": shard, "sno": range(len(names)), "n": counts})
+
+    def draw_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for over in batches:
+            for shard, n in over[["shard", "over"]].itertuples(index=False):
+                counts = np.random.default_rng([seed, int(shard), 1]).multinomial(n, again)
                 yield pd.DataFrame({"shard": shard, "sno": range(len(names)), "n": counts})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         for drawn in batches:
-            for shard, sno, n, base in drawn[["shard", "sno", "n", "base"]].itertuples(index=False):
+            for shard, sno, n, base, slot in drawn[["shard", "sno", "n", "base", "slot"]].itertuples(index=False):
                 name = names[sno]
                 k = np.arange(base, base + n)
-                k = k[k < blocks[name] * uses[name]] if blocks[name] else k[:0]
+                k = k[k < capacity[sno]]
                 if len(k):
                     turn, at = np.divmod(k, blocks[name])
                     block = permuted(at, np.full(len(k), blocks[name]), turn * 1009 + sno * 31 + seed)
-                    yield pd.DataFrame({"shard": shard, "slot": k - base, "source": name, "pass": turn, "block": block})
+                    yield pd.DataFrame({"shard": shard, "slot": slot + k - base, "source": name, "pass": turn, "block": block})
 
-    counts = spark.range(shards, numPartitions=max(1, min(shards, 512))).mapInPandas(draw, "shard long, sno int, n long")
     earlier = Window.partitionBy("sno").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counted = "shard long, sno int, n long"
+    first = spark.range(shards, numPartitions=max(1, min(shards, 512))).mapInPandas(draw, counted)
+    first = scratch.write(first.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("slot", F.lit(0).cast("bigint")), "drawn")
+    held = F.element_at(F.array(*[F.lit(c).cast("bigint") for c in capacity]), F.col("sno") + 1) if names else F.lit(0).cast("bigint")
+    drawn = first
+    if again:
+        beyond = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("n"), F.col("base") + F.col("n") - held))
+        over = first.groupBy("shard").agg(F.sum(beyond).alias("over")).where("over > 0")
+        more = over.mapInPandas(draw_again, counted).withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        ends = first.groupBy("sno").agg(F.sum("n").alias("total"))
+        mine = first.select("shard", "sno", F.col("n").alias("before"))
+        more = more.join(ends, "sno").join(mine, ["shard", "sno"]).select("shard", "sno", "n", (F.col("base") + F.col("total")).alias("base"), F.col("before").alias("slot"))
+        drawn = first.union(more)
     placed = drawn.repartition("shard").mapInPandas(place, "shard long, slot long, source string, pass long, block long")
 
     used = sized.where(F.col("source").isin(names) & (F.col("tokens") > 0))
@@ -135,16 +181,19 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = DE
     lo = F.greatest(F.col("block") * BLOCK_TOKENS, F.col("start"))
     hi = F.least((F.col("block") + 1) * BLOCK_TOKENS, F.col("start") + F.col("tokens"))
     pieces = pieces.select("source", "block", "doc_id", (lo - F.col("start")).alias("first_token"), (hi - lo).alias("tokens"))
-    mixed = Scratch(spark).write(
+    mixed = scratch.write(
         placed.join(pieces, ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "first_token", "tokens"), "mixed"
     )
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.max(F.col("pass") + 1).alias("uses"))
     whole = Window.partitionBy()
+    by_source = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("sno") + 1) if names else F.lit(None).cast("string")
+    slots_of = first.groupBy("sno").agg(F.sum("n").alias("drawn")).select(by_source.alias("source"), "drawn", held.alias("held"))
     report = (
-        sizes.join(got, "source", "left")
+        sizes.join(got, "source", "left").join(slots_of, "source", "left")
+        .withColumn("ran_out", F.coalesce("drawn", F.lit(0)) + SIGMAS * F.sqrt(F.coalesce("drawn", F.lit(0))) + 1 >= F.coalesce("held", F.lit(0)))
         .withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
         .withColumn("reached_share", F.col("mixed_tokens") / F.greatest(F.sum("mixed_tokens").over(whole), F.lit(1)))
         .select(F.col("name").alias("source"), "documents", "tokens", "target_share", "max_uses",
-                F.coalesce("uses", F.lit(0)).alias("uses"), "mixed_tokens", "reached_share", "short")
+                F.coalesce("uses", F.lit(0)).alias("uses"), "mixed_tokens", "reached_share", "ran_out", "short")
     )
     return mixed, report

@@ -43,4 +43,20 @@ SQL: dict[str, str] = {
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY video_hash ORDER BY score DESC, tc, match_id) AS rn FROM once)
         SELECT video_hash, match_id FROM ranked WHERE rn <= 3""",
+    "p5_found": """
+        WITH RECURSIVE rows AS (
+            SELECT query_path, path, regexp_replace(lower(trim(query_hash, E' \\t\\n\\r')), '^(sha-?256\\s*[:=]\\s*|0x)', '') AS qd,
+                   regexp_replace(lower(trim(image_hash, E' \\t\\n\\r')), '^(sha-?256\\s*[:=]\\s*|0x)', '') AS pd,
+                   len(list_filter(map_entries(scores), lambda e: e.value IS NOT NULL AND NOT isnan(e.value)
+                       AND e.value >= CASE e.key WHEN 'exact' THEN 1.0 WHEN 'altered' THEN 0.75 WHEN 'semantic' THEN 0.55 ELSE 'infinity'::DOUBLE END)) > 0 AS good
+            FROM hits),
+        ends AS (
+            SELECT DISTINCT path, CASE WHEN regexp_full_match(d, '[0-9a-f]{64}') AND d <> repeat(d[1], 64) THEN d END AS d
+            FROM (SELECT query_path AS path, qd AS d FROM rows UNION ALL SELECT path, pd FROM rows) WHERE path IS NOT NULL),
+        links AS (
+            SELECT query_path AS a, path AS b FROM rows WHERE good AND query_path <> path
+            UNION SELECT e.path, f.path FROM ends e JOIN (SELECT d, min(path) AS path FROM ends WHERE d IS NOT NULL GROUP BY d) f ON e.d = f.d AND e.path <> f.path),
+        both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+        SELECT min(least(a, b)) AS group_path, a AS path FROM reach GROUP BY a""",
 }

@@ -58,6 +58,16 @@ def test_permutation():
             assert sorted(out.tolist()) == list(range(n))
 
 
+def test_drawn_shares():
+    assert mixing.drawn_shares([0.5, 0.3, 0.2], [900, 900, 900], 1000) == ([0.5, 0.3, 0.2], set())
+    (a, b, c), short = mixing.drawn_shares([0.5, 0.3, 0.2], [900, 900, 100], 1000)
+    assert short == {2} and c == 0.1 and abs(a / b - 5 / 3) < 1e-9 and abs(a + b + c - 1) < 1e-9
+    # one that fills its own share but not its part of the rest is short as well
+    (a, b, c), short = mixing.drawn_shares([0.5, 0.3, 0.2], [520, 2000, 0], 1000)
+    assert short == {0, 2} and c == 0 and a == 0.52 and abs(b - 0.48) < 1e-9
+    assert mixing.drawn_shares([0.5, 0.5], [100, 100], 1000) == ([0.1, 0.1], {0, 1})
+
+
 def test_mixing(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_TOKENS", 16)
     rows = [(i, "many words in a row " * 4, " Big ") for i in range(200)] + [(i, "few words", "small") for i in range(200, 210)] + [(300, None, "small"), (301, "x", None), (302, "other text", "other")]
@@ -68,7 +78,9 @@ def test_mixing(spark, monkeypatch):
     small = sum(size(t) for _, t, s in rows if t and s == "small")
     assert got["small"]["short"] and got["none"]["short"] and not got["big"]["short"]
     assert got["small"]["mixed_tokens"] == 3 * small and got["none"]["mixed_tokens"] == 0
-    assert abs(got["big"]["mixed_tokens"] / total - 0.5) < 0.1
+    # big takes the place of the sources that cannot fill their share: the mix is as large as asked
+    assert abs((got["big"]["mixed_tokens"] + 3 * small) / total - 1) < 0.05
+    assert got["small"]["ran_out"] and got["none"]["ran_out"] and not got["big"]["ran_out"]
     assert abs(sum(r["reached_share"] for r in got.values()) - 1) < 1e-9
     uses = mixed.groupBy("source", "doc_id", "first_token").count().collect()
     assert all(r["count"] <= {"big": 2, "small": 3}[r["source"]] for r in uses)

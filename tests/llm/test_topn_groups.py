@@ -63,6 +63,19 @@ def test_long_chain_and_hub(spark):
     assert len(found) == 301 + 1 + 200 + 12
 
 
+def test_shared_hashes_are_told_apart(spark, monkeypatch):
+    # a number of 3 bits: nearly all names clash at first
+    monkeypatch.setattr(components, "_number", lambda kind, name: components.F.pmod(components.F.xxhash64(kind, name), components.F.lit(8)))
+    rows = [(f"a{i}", None, f"b{i}", None, {"exact": 1.0}) for i in range(12)]
+    assert groups(spark, rows) == {x: f"a{i}" for i in range(12) for x in (f"a{i}", f"b{i}")}
+
+
+def test_peel_of_a_deep_component(spark):
+    # a tree of 12 levels: the frontier doubles all the way
+    rows = [(f"n{i:05}", None, f"n{(i - 1) // 2:05}", None, {"exact": 1.0}) for i in range(1, 2**9)]
+    assert set(groups(spark, rows).values()) == {"n00000"}
+
+
 def test_no_hits(spark):
     assert groups(spark, []) == {}
 
@@ -109,11 +122,11 @@ def test_repeats_equal_the_sequential_rule(spark):
     assert {tuple(r) for r in found} == want and len(found) == len(want)
 
     # tiny folders and ranges: the runs are cut by leading bits, batches go in pieces, levels are merged
-    small = batch_dedup.HashForest(spark, range_rows=200, range_bytes=30_000)
+    small = batch_dedup.HashForest(spark, range_rows=200, range_bytes=90_000)
     first = batch_dedup.repeated_records(table.where("batch_no < 5"), small).collect()
     assert small.state["merges"] == 1 and max(r["bits"] for r in small.state["runs"]) > 1
     # a later job opens the forest by its path and reads new batches only
-    again = batch_dedup.HashForest(spark, small.root, range_rows=200, range_bytes=30_000)
+    again = batch_dedup.HashForest(spark, small.root, range_rows=200, range_bytes=90_000)
     assert again.state == small.state
     later = batch_dedup.repeated_records(table.where("batch_no >= 5"), again).collect()
     assert {tuple(r) for r in first + later} == want and len(first + later) == len(want)

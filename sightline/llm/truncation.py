@@ -1,10 +1,12 @@
 """Texts that stop before their end (problem 8).
 
 Prefix evidence: all distinct texts are sorted; if any text continues another,
-then that other's successor in byte order does, so one look ahead finds every
-text with a longer copy, whatever the size of a group with equal beginnings.
-A longer copy that goes on inside a word proves the cut, and so does one that
-goes on anywhere else if the last word is not one that ends texts of the source.
+then that other's successor does, so one look ahead finds every text with a
+longer copy, whatever the size of a group with equal beginnings.  The order puts
+letters and digits before all other characters: of all continuations the
+successor is one that goes on inside the word, if there is any.  Such a longer
+copy proves the cut, and so does one that goes on anywhere else if the last word
+is not one that ends texts of the source.
 
 Most cut texts have no longer copy, so two kinds of evidence from all texts of
 the source follow: the last word hardly ever ends a text of that source (or is
@@ -44,6 +46,11 @@ LIMIT_TEXTS, LIMIT_SHARE = 3, 0.25
 # shorter texts without a closing mark are titles, in sources where that share of the texts closes
 # and their last word ends a text in that share of its uses
 TITLE_CHARS, CLOSED_SHARE, TITLE_SHARE = 48, 0.5, 0.02
+# white space as the endings see it, and characters at the end that they look at first
+SPACES, TAIL = " \t\n\x0b\f\r\u00a0", 256
+# for the order: blanks and marks of plain text, moved behind all letters
+MARKS = "".join(map(chr, [*range(1, 48), *range(58, 65), *range(91, 97), *range(123, 127), 0xA0, 0xAB, 0xBB, *range(0x2010, 0x2027)]))
+BEHIND = "".join(chr(0xF0000 + i) for i in range(len(MARKS)))
 # words that a task counts before it passes them on
 HELD_WORDS = 200_000
 # longer words (encoded data) have no fragments, nor have words used once
@@ -73,9 +80,9 @@ def _looks_ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def longer_copies(bodies: DataFrame) -> DataFrame:
     """``(h1, h2, goes_on)``: hashes of each distinct ``body`` that another one continues,
-    with the character that follows in the next longer one."""
+    with the character that follows in a longer one, a letter or digit if one does in any."""
     scratch = Scratch(bodies.sparkSession)
-    once = bodies.select(F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("b"), "body").alias("h2"), "body").distinct()
+    once = bodies.select(F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("b"), "body").alias("h2"), F.translate("body", MARKS, BEHIND).alias("body")).distinct()
     seen = scratch.write(
         once.repartitionByRange("body").sortWithinPartitions("body").mapInArrow(
             _looks_ahead, "kind int, part int, h1 long, h2 long, body string, goes_on string"),
@@ -86,7 +93,8 @@ def longer_copies(bodies: DataFrame) -> DataFrame:
     ends = seen.where("kind > 0").withColumn("nxt", F.lead("body").over(edge)).where("kind = 2")
     across = ends.where(F.col("nxt").startswith(F.col("body")) & (F.col("nxt") != F.col("body"))).select(
         "h1", "h2", F.substring("nxt", F.length("body") + 1, F.lit(1)).alias("goes_on"))
-    return seen.where("kind = 0").select("h1", "h2", "goes_on").union(across)
+    found = seen.where("kind = 0").select("h1", "h2", "goes_on").union(across)
+    return found.withColumn("goes_on", F.translate("goes_on", BEHIND, MARKS))
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,15 +153,19 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     texts = scratch.write(
         docs.select("doc_id", F.coalesce(plain_source("source"), F.lit("")).alias("source"),
-                    F.regexp_replace("text", r"[\s ]+$", "").alias("body"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")),
+                    F.rtrim("text", F.lit(SPACES)).alias("body"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")),
         "texts",
     )
-    closed = F.regexp_replace("body", "&quot;$", '"')
+    # endings are looked for in the last characters; only where these hold no break, in the whole text
+    tail = F.expr(f"right(body, {TAIL})")
+    ending = lambda brk: F.when(tail.rlike(brk) | (F.length("body") <= TAIL), tail).otherwise(F.col("body"))
+    last_line = ending(r"\n")
+    closed = F.regexp_replace(tail, "&quot;$", '"')
     known = texts.where("body <> ''").select(
         "doc_id", "source", "body", "chars", "bytes", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("b"), "body").alias("h2"),
-        F.regexp_extract("body", MARKER, 0).alias("marker"),
-        F.translate(F.regexp_extract("body", r"(\S+)$", 1), "123456789", "000000000").alias("word"),
-        F.when(F.col("body").rlike(r"\n\s*\S+(?: \S+){0,4}$"), F.regexp_replace(F.regexp_extract("body", r"([^\n]*)$", 1), "[0-9]", "0")).alias("line"),
+        F.regexp_extract(tail, MARKER, 0).alias("marker"),
+        F.translate(F.regexp_extract(ending(r"\s"), r"(\S+)$", 1), "123456789", "000000000").alias("word"),
+        F.when(last_line.rlike(r"\n\s*\S+(?: \S+){0,4}$"), F.regexp_replace(F.substring_index(last_line, "\n", -1), "[0-9]", "0")).alias("line"),
         closed.rlike(CLOSING).alias("closes"), F.substring("body", -1, 1).alias("last"),
     )
     slim = scratch.write(known.drop("body"), "slim")

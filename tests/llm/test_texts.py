@@ -122,3 +122,18 @@ def test_longer_copies_are_all_found(spark):
     found = truncation.longer_copies(spark.createDataFrame([(t,) for t in texts], "body string").repartition(5))
     want = sum(any(u != t and u.startswith(t) for u in texts) for t in texts)
     assert found.count() == want
+
+
+def test_a_continuation_inside_the_word_is_seen_behind_others(spark):
+    texts = ["the foo ba", "the foo ba!", "the foo ba and more", "the foo bar and more", "x", "x y", "x-y", "une \u00e9", "une \u00e9, deux", "une \u00e9t\u00e9"]
+    found = truncation.longer_copies(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "body string, n int").repartition(3).select("body"))
+    by_hash = {r["h1"]: r["goes_on"] for r in found.collect()}
+    hashes = {r["body"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "body string").selectExpr("body", "xxhash64(body) AS h").collect()}
+    assert {t: by_hash[h] for t, h in hashes.items() if h in by_hash} == {"the foo ba": "r", "x": " ", "une \u00e9": "t"}
+
+
+def test_long_last_words_and_lines(spark):
+    long = "w" * 1000
+    rows = [(1, f"ends in {long}", "a"), (2, f"first\n{long} {long} end", "a"), (3, long, "a"), (4, f"{long}\u00a0\n \t", "a"), (5, "x" * 300 + "\nGreta 12", "a")]
+    judged = truncation.judged_texts(docs(spark, rows))
+    assert judged.count() == 5 and judged.where("truncated is null").count() == 0

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: extensions that count as images and videos
-IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "gif", "tif", "tiff", "webp")
+IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tiff", "tif", "webp", "gif", "jp2", "ico", "psd")
 HEIF_EXTENSIONS = ("heic", "heif")
-VIDEO_EXTENSIONS = ("mp4", "mov", "avi", "mkv", "wmv", "flv", "webm", "m4v", "mpg", "mpeg", "3gp", "ts", "mts", "m2ts", "vob", "ogv")
+VIDEO_EXTENSIONS = ("mp4", "avi", "mov", "mkv", "wmv", "flv", "webm", "m4v", "mpg", "mpeg", "3gp", "ts", "mts")
 
 CROP_SIDE, RESIZE_SIDE = 288, 331  # fixed values of the copy-detection preprocessing
 
@@ -18,10 +20,18 @@ def _col(c: Column | str) -> Column:
 
 
 def extension(path: Column | str) -> Column:
-    return F.lower(F.regexp_extract(_col(path), r"\.([^./\\]+)$", 1))
+    """Lower-case suffix; a name that only begins with a dot has none."""
+    return F.lower(F.regexp_extract(_col(path), r"[^/\\]\.([^./\\]+)$", 1))
+
 
+def heif_available() -> bool:
+    """Whether a decoder for HEIF pictures is installed."""
+    return find_spec("pillow_heif") is not None
 
-def file_type(path: Column | str, heif: bool = True) -> Column:
+
+def file_type(path: Column | str, heif: bool | None = None) -> Column:
+    """``image``, ``video`` or ``unsupported`` by suffix; HEIF counts where its decoder is, unless ``heif`` says otherwise."""
+    heif = heif_available() if heif is None else heif
     images = IMAGE_EXTENSIONS + (HEIF_EXTENSIONS if heif else ())
     ext = extension(path)
     return F.when(ext.isin(*images), "image").when(ext.isin(*VIDEO_EXTENSIONS), "video").otherwise("unsupported")
@@ -81,6 +91,47 @@ def crop_boxes(width: Column | str, height: Column | str, side: int = CROP_SIDE,
     return F.array(*boxes[: 1 if crops == 1 else 5])
 
 
+def effective_cap(normalize_size: Column | str) -> Column:
+    """Short side that serves both preprocessings: no less than either needs."""
+    return F.greatest(F.lit(RESIZE_SIDE), _col(normalize_size).cast("int"))
+
+
+def centre_preview(width: Column | str, height: Column | str, side: Column | str) -> tuple[Column, Column, Column]:
+    """Size with the shorter side at ``side`` and the centre square that the semantic model sees in it."""
+    w, h, n = _col(width), _col(height), _col(side).cast("int")
+    scale = n.cast("double") / F.least(w, h)
+    nw, nh = (F.greatest(n, F.bround(x * scale).cast("int")) for x in (w, h))
+    x, y = F.floor((nw - n) / 2).cast("int"), F.floor((nh - n) / 2).cast("int")
+    return nw, nh, F.struct(x.alias("left"), y.alias("top"), (x + n).alias("right"), (y + n).alias("bottom"))
+
+
+def duration_text(seconds: Column | str) -> Column:
+    """``7s``, ``3m 07s`` or ``2h 03m 07s``; fractions are cut off."""
+    s = _col(seconds).cast("bigint")
+    m, h = F.floor(s / 60), F.floor(s / 3600)
+    return (
+        F.when(s < 60, F.format_string("%ds", s)).when(m < 60, F.format_string("%dm %02ds", m, s % 60))
+        .otherwise(F.format_string("%dh %02dm %02ds", h, m % 60, s % 60))
+    )
+
+
+def rate_text(count: Column | str, seconds: Column | str, unit: str) -> Column:
+    """Items a second with one digit, a dash where no time has passed."""
+    per = _col(count).cast("double") / _col(seconds)
+    return F.when(_col(seconds) > 0, F.format_string(f"%.1f {unit}/s", F.bround(per, 1))).otherwise("\u2014")
+
+
+def megabyte_rate_text(size: Column | str, seconds: Column | str) -> Column:
+    return rate_text(_col(size) / 1e6, seconds, "MB")
+
+
+def bar(percent: Column | str, width: int = 28) -> Column:
+    """A bar of ``width`` block characters, filled by percentage."""
+    share = F.least(F.greatest(_col(percent).cast("double"), F.lit(0.0)), F.lit(100.0))
+    filled = F.bround(F.lit(width) * share / 100).cast("int")
+    return F.concat(F.repeat(F.lit("\u2588"), filled), F.repeat(F.lit("\u2591"), F.lit(width) - filled))
+
+
 def expected_frames(duration_s: Column | str, fps: float, cap: int) -> Column:
     whole = F.floor(_col(duration_s) * fps)
     return F.greatest(F.lit(1).cast("bigint"), F.least(whole, F.lit(cap)) if cap > 0 else whole)

@@ -77,6 +77,33 @@ def completion(frames: DataFrame, totals: DataFrame) -> DataFrame:
         (F.col("total").isNotNull() & (F.coalesce("indexed", F.lit(0)) + F.coalesce("dups", F.lit(0)) >= F.col("total"))).alias("complete"))
 
 
+def run_completion(frames: DataFrame, indexed: DataFrame, totals: DataFrame, vectors: list[str]) -> DataFrame:
+    """Per video and vector, whether a run has it whole: ``(video, vector, indexed, dups, total, complete)``.
+
+    ``frames(frame, video, digest, is_dup)`` are the run's frames; ``indexed(frame,
+    vector)`` those that got one of the ``vectors``; ``totals(video, total)`` the expected
+    numbers.  A repeated frame counts for its video only where the frame that
+    stands for its digest lies in the same video: one of another video never
+    got this video's place.  Videos without an expected total are left out.
+    """
+    winner = frames.where("not is_dup and digest is not null").groupBy("digest").agg(F.min_by("video", "frame").alias("own"))
+    dups = frames.where("is_dup").join(winner, "digest").where(F.col("own") == F.col("video")).groupBy("video").agg(F.count("*").alias("dups"))
+    done = indexed.join(frames.where("not is_dup").select("frame", "video"), "frame").groupBy("video", "vector").agg(F.countDistinct("frame").alias("indexed"))
+    grid = totals.where("total > 0").withColumn("vector", F.explode(F.array(*[F.lit(v) for v in vectors])))
+    return (
+        grid.join(done, ["video", "vector"], "left").join(dups, "video", "left")
+        .select("video", "vector", F.coalesce("indexed", F.lit(0)).alias("indexed"), F.coalesce("dups", F.lit(0)).alias("dups"), "total")
+        .withColumn("complete", F.col("indexed") + F.col("dups") >= F.col("total"))
+    )
+
+
+def model_counters(outcomes: DataFrame) -> DataFrame:
+    """Per vector, how a run's files fared: ``(vector, indexed, skipped, failed)`` from ``(vector, status)``."""
+    status = F.col("status")
+    return outcomes.groupBy("vector").agg(
+        F.count_if(status == "indexed").alias("indexed"), F.count_if(status.startswith("skipped")).alias("skipped"), F.count_if(status.startswith("failed")).alias("failed"))
+
+
 def video_status() -> Column:
     """Roll-up of a video's completion row."""
     return F.when(F.col("total").isNull(), "unknown").when(F.col("complete"), "indexed").when(F.col("indexed") > 0, "partial").otherwise("pending")

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.session import Scratch
+from sightline.settings import endpoint_hash
+
 
 class Embedder(Protocol):
     """What a model must offer; ``embed`` gets whole batches and may raise per batch."""
@@ -99,8 +102,20 @@ def checked_response(data: list[dict], count: int, dim: int) -> list[list[float]
     return [by_index[i] for i in range(count)]
 
 
+def picture_kind(content: bytes) -> str:
+    """Media type of a picture by its first bytes."""
+    for start, kind in ((b"\x89PNG", "image/png"), (b"\xff\xd8", "image/jpeg"), (b"GIF8", "image/gif"), (b"BM", "image/bmp"), (b"II*\0", "image/tiff"), (b"MM\0*", "image/tiff")):
+        if content.startswith(start):
+            return kind
+    return "image/webp" if content[:4] == b"RIFF" and content[8:12] == b"WEBP" else "application/octet-stream"
+
+
 class RemoteEmbedder:
-    """Vectors from an endpoint that takes ``{model, input: [data URLs]}``; the model must be named."""
+    """Vectors from an endpoint that takes ``{model, input: [data URLs]}``; the model must be named.
+
+    Pictures go out as they are, under their own media type.  A refusal is an
+    error that carries the answer's text.
+    """
 
     def __init__(self, url: str, model: str, dim: int, timeout: float = 30.0, key: str | None = None):
         if not model.strip():
@@ -108,19 +123,23 @@ class RemoteEmbedder:
         self.url, self.name, self.dim, self.timeout, self.key = url.rstrip("/"), model, dim, timeout, key
 
     def identity(self) -> str:
-        return "config:" + hashlib.sha256(f"{self.url}{self.name}{self.dim}".encode()).hexdigest()
+        return endpoint_hash(self.url, self.name, self.dim)
 
     def embed(self, contents: list[bytes]) -> list[list[float]]:
         import base64
         import json
+        from urllib.error import HTTPError
         from urllib.request import Request, urlopen
 
         if not contents:
             return []
-        body = {"model": self.name, "input": ["data:image/jpeg;base64," + base64.b64encode(c).decode() for c in contents]}
+        body = {"model": self.name, "input": [f"data:{picture_kind(c)};base64," + base64.b64encode(c).decode() for c in contents]}
         head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
-        with urlopen(Request(f"{self.url}/embeddings", json.dumps(body).encode(), head), timeout=self.timeout) as answer:  # noqa: S310
-            return checked_response(json.load(answer)["data"], len(contents), self.dim)
+        try:
+            with urlopen(Request(f"{self.url}/v1/embeddings", json.dumps(body).encode(), head), timeout=self.timeout) as answer:  # noqa: S310
+                return checked_response(json.load(answer)["data"], len(contents), self.dim)
+        except HTTPError as refusal:
+            raise RuntimeError(f"the endpoint answered {refusal.code}: {refusal.read().decode(errors='replace')[:500]}") from refusal
 
 
 FACTORIES["remote"] = RemoteEmbedder
@@ -137,9 +156,11 @@ def analysed(uploads: DataFrame, models: dict[str, Callable[[], Embedder]]) -> t
     """
     given = F.col("file_hash") if "file_hash" in uploads.columns else F.lit(None).cast("string")
     base = uploads.withColumns({"file_hash": F.coalesce(given, F.sha2("content", 256)), "file_hash_md5": F.md5("content")})
-    vectors, errors = None, None
+    vectors, errors, scratch = None, None, Scratch(uploads.sparkSession)
     for number, (mode, make) in enumerate(models.items()):
-        done = embedded(base, "content", make)
+        # written once: vectors and errors both read it, the model runs a single time
+        kept = [c for c in base.columns if c != "content"]
+        done = scratch.write(embedded(base, "content", make).select(*kept, "vector", "embed_error"), "embedded")
         key = F.xxhash64("file_id", F.coalesce("query_timecode_ms", F.lit(-1).cast("bigint")), F.lit(number))
         v = done.where("vector is not null").select(key.alias("q_id"), "file_id", F.lit(mode).alias("mode"), "query_timecode_ms", F.col("vector").alias("vec"))
         e = done.groupBy("file_id").agg(F.when(F.count("vector") == 0, F.min("embed_error")).alias("error"))

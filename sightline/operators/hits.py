@@ -16,52 +16,82 @@ from sightline.functions.media import best_score
 MODE_RANK = {"exact": 0, "altered": 1, "semantic": 2}
 
 
+# what a hit carries of the found file besides its path, where its rows have it
+CARRIED = ("exif", "exif_geo_data", "is_video_frame", "video_hash")
+
+
 def _mode_maxima(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Greatest number per mode of each key's score maps, as a map again."""
-    flat = rows.select(*keys, F.explode_outer("scores").alias("mode", "score")).where("score is not null and not isnan(score)")
-    per = flat.groupBy(*keys, "mode").agg(F.max("score").alias("score"))
-    return per.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("mode", "score")))).alias("scores"))
+    """Greatest number per mode of each key's score maps, as a map again.
+
+    Where the rows have a ``provenance`` map (mode -> model), the model of a mode
+    is that of the first row with the greatest score.
+    """
+    carried = [c for c in ("ord", "provenance") if c in rows.columns] if "provenance" in rows.columns else []
+    flat = rows.select(*keys, *carried, F.explode_outer("scores").alias("mode", "score")).where("score is not null and not isnan(score)")
+    found = [F.max("score").alias("score")]
+    if carried:
+        model = F.element_at("provenance", F.col("mode"))
+        found.append(F.max_by(model, F.when(model.isNotNull(), F.struct(F.round("score", 9), -F.col("ord")))).alias("model"))
+    per = flat.groupBy(*keys, "mode").agg(*found)
+    maps = [F.map_from_entries(F.sort_array(F.collect_list(F.struct("mode", "score")))).alias("scores")]
+    if carried:
+        known = F.when(F.col("model").isNotNull(), F.struct("mode", "model"))
+        maps.append(F.map_from_entries(F.sort_array(F.collect_list(known))).alias("provenance"))
+    return per.groupBy(*keys).agg(*maps)
 
 
 def group_video_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     """One row per video and ``keys`` (the query entity) from its frame hits.
 
     Input: ``keys, video_path, path, image_hash, frame_timecode_ms, scores,
-    is_reference, ord``.  The frame with the greatest score represents the video
-    (the first on ties); scores are maxima per mode; frames are listed by
-    timecode (missing counts as 0); the reference flag holds if any has it.
+    is_reference, ord``, optionally ``provenance`` and what ``CARRIED`` names.
+    The frame with the greatest score represents the video (the first on ties);
+    scores are maxima per mode; ``frames`` counts the matched frames, which
+    ``frames_of`` lists; the reference flag holds if any has it.
     """
     by = [*keys, "video_path"]
-    ranked = hits.withColumn("best", best_score("scores"))
+    kept = [c for c in CARRIED if c in hits.columns]
+    ranked = hits.withColumn("best", F.round(best_score("scores"), 9))
     flag = [] if "is_reference" in keys else [F.bool_or(F.coalesce("is_reference", F.lit(False))).alias("is_reference")]
     groups = ranked.groupBy(*by).agg(
-        F.max_by(F.struct("path", "image_hash", "frame_timecode_ms"), F.struct("best", -F.col("ord"))).alias("top"),
-        F.sort_array(F.collect_list(F.struct(
-            F.coalesce("frame_timecode_ms", F.lit(0).cast("bigint")).alias("timecode_ms"), "ord",
-            F.coalesce("image_hash", F.lit("")).alias("frame_hash"), F.map_entries("scores").alias("scores")))).alias("matched_frames"),
-        *flag, F.min("ord").alias("ord"),
+        F.max_by(F.struct("path", "image_hash", "frame_timecode_ms", *kept), F.struct("best", -F.col("ord"))).alias("top"),
+        F.count("*").alias("frames"), *flag, F.min("ord").alias("ord"),
     )
+    models = ["provenance"] if "provenance" in hits.columns else []
     return groups.join(_mode_maxima(hits, by), by, "left").select(
-        *dict.fromkeys([*by, "top.path", "top.image_hash", "top.frame_timecode_ms", "matched_frames", "is_reference", "ord", "scores"]))
+        *dict.fromkeys([*by, "top.path", "top.image_hash", "top.frame_timecode_ms", *[f"top.{c}" for c in kept], "frames", "is_reference", "ord", "scores", *models]))
+
+
+def frames_of(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """The frame hits behind ``group_video_hits`` as rows: ``(keys, video_path, timecode_ms, frame_hash, scores, ord)``.
+
+    A missing timecode counts as 0.  Rows, not a list: a video may hold any share of all frames.
+    """
+    return hits.select(
+        *keys, "video_path", F.coalesce("frame_timecode_ms", F.lit(0).cast("bigint")).alias("timecode_ms"), F.coalesce("image_hash", F.lit("")).alias("frame_hash"), "scores", "ord")
 
 
 def merge_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key from hits of several modes and query frames.
 
     Input: ``keys, path, image_hash, query_timecode_ms, scores, is_reference,
-    ord``.  Scores are maxima per mode; path comes from the first hit, the hash
+    ord``, optionally ``provenance``, ``video_path``, ``frame_timecode_ms`` and
+    what ``CARRIED`` names.  Scores are maxima per mode, each with the model of
+    its row; path and what is carried come from the first hit, the hash
     from the first that has one; query timecodes are distinct, in order of
     arrival; the best one belongs to the hit that first reached the greatest score.
     """
-    rows = hits.withColumn("best", best_score("scores"))
+    rows = hits.withColumn("best", F.round(best_score("scores"), 9))
     timed = F.when(F.col("query_timecode_ms").isNotNull(), F.struct("ord", "query_timecode_ms"))
+    kept = [c for c in (*CARRIED, "video_path", "frame_timecode_ms") if c in hits.columns and c not in keys]
     merged = rows.groupBy(*keys).agg(
-        F.min_by("path", "ord").alias("path"),
+        F.min_by(F.struct("path", *kept), "ord").alias("_first"),
         F.min_by("image_hash", F.when(F.coalesce("image_hash", F.lit("")) != "", F.col("ord"))).alias("image_hash"),
         F.array_distinct(F.transform(F.sort_array(F.collect_list(timed)), lambda x: x["query_timecode_ms"])).alias("query_timecodes"),
         F.max_by("query_timecode_ms", F.when(F.col("query_timecode_ms").isNotNull(), F.struct("best", -F.col("ord")))).alias("best_query_timecode_ms"),
         F.bool_or(F.coalesce("is_reference", F.lit(False))).alias("is_reference"), F.min("ord").alias("ord"),
     )
+    merged = merged.select(*keys, "_first.*", *[c for c in merged.columns if c not in (*keys, "_first")])
     return merged.join(_mode_maxima(hits, keys), keys, "left")
 
 

@@ -81,8 +81,7 @@ def throughput_filter(batches: DataFrame, keys: list[str], order: str, n: str, s
     """Filtered rate of a run's batches: ``(keys, updates, rate, variance)``.
 
     Each key's few batches are folded in order; batches without items or time
-    are skipped.  The remaining time follows as ``remaining / rate`` with
-    deviation ``remaining * sqrt(variance) / rate^2`` from two updates on.
+    are skipped.  ``remaining_time`` goes on from here.
     """
     seen = F.when((F.col(n) > 0) & (F.col(seconds) > 0), F.struct(F.col(order).alias("o"), (F.col(n) / F.col(seconds)).alias("z")))
     state = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("x"), F.lit(0.0).alias("p"))
@@ -98,6 +97,14 @@ def throughput_filter(batches: DataFrame, keys: list[str], order: str, n: str, s
     return folded.where("s.k > 0").select(*keys, F.col("s.k").alias("updates"), F.col("s.x").alias("rate"), F.col("s.p").alias("variance"))
 
 
+def remaining_time(filtered: DataFrame, remaining: str) -> DataFrame:
+    """Adds ``eta_seconds`` and its deviation ``eta_deviation`` for ``remaining`` items; null before the second update."""
+    known = (F.col("updates") >= 2) & (F.col("rate") > 0)
+    n = F.col(remaining)
+    return filtered.withColumns({
+        "eta_seconds": F.when(known, n / F.col("rate")), "eta_deviation": F.when(known, n * F.sqrt("variance") / (F.col("rate") * F.col("rate")))})
+
+
 def principal_axes(points: DataFrame, point_id: str, vector: str, limit: int = 5000) -> DataFrame:
     """``(id, x, y, z)``: up to ``limit`` vectors on their three main axes, scaled to [-1, 1].
 

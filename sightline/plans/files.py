@@ -20,19 +20,30 @@ def uuid5_ids(spark, d):
     return v.select("video_hash", ids.image_id("video_hash").alias("image_id"), ids.frame_id("video_hash", F.lit(1500)).alias("frame_id"), ids.video_id("video_hash").alias("video_id"))
 
 
-QUERIES["uuid5_ids"] = uuid5_ids  # held against uuid.uuid5 in the tests
+QUERIES["uuid5_ids"] = uuid5_ids  # held against uuid.uuid5 in the tests, too
+
+
+def _uuid5_sql(name: str) -> str:
+    """RFC 4122, version 5: the namespace for URLs and a name through SHA-1, version and variant set."""
+    d = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({name}))"
+    variant = f"printf('%x', (('0x' || substr({d}, 17, 1))::INT & 3) | 8)"
+    return f"substr({d}, 1, 8) || '-' || substr({d}, 9, 4) || '-5' || substr({d}, 14, 3) || '-' || {variant} || substr({d}, 18, 3) || '-' || substr({d}, 21, 12)"
+
+
+SQL["uuid5_ids"] = "SELECT DISTINCT video_hash, " + ", ".join(f"{_uuid5_sql(n)} AS {c}" for n, c in (
+    ("video_hash", "image_id"), ("(video_hash || ':1500')", "frame_id"), ("('video:' || video_hash)", "video_id"))) + " FROM videos"
 
 
 def file_types(spark, d):
-    r = table(spark, d, "file_records").select(media.extension("path").alias("ext"), media.file_type("path").alias("file_type"))
+    r = table(spark, d, "file_records").select(media.extension("path").alias("ext"), media.file_type("path", heif=False).alias("file_type"))
     return r.groupBy("ext", "file_type").agg(F.count("*").alias("n"))
 
 
-_IMAGES = ", ".join(f"'{x}'" for x in media.IMAGE_EXTENSIONS + media.HEIF_EXTENSIONS)
-_VIDEOS = ", ".join(f"'{x}'" for x in media.VIDEO_EXTENSIONS)
 QUERIES["file_types"] = file_types
-SQL["file_types"] = f"""WITH e AS (SELECT lower(regexp_extract(path, '\\.([^./\\\\]+)$', 1)) AS ext FROM file_records)
-SELECT ext, CASE WHEN ext IN ({_IMAGES}) THEN 'image' WHEN ext IN ({_VIDEOS}) THEN 'video' ELSE 'unsupported' END AS file_type, count(*) AS n FROM e GROUP BY ALL"""
+# written out: the lists that the engine has to have
+SQL["file_types"] = """WITH e AS (SELECT lower(regexp_extract(path, '[^/\\\\]\\.([^./\\\\]+)$', 1)) AS ext FROM file_records)
+SELECT ext, CASE WHEN ext IN ('jpg', 'jpeg', 'png', 'bmp', 'tiff', 'tif', 'webp', 'gif', 'jp2', 'ico', 'psd') THEN 'image'
+    WHEN ext IN ('mp4', 'avi', 'mov', 'mkv', 'wmv', 'flv', 'webm', 'm4v', 'mpg', 'mpeg', '3gp', 'ts', 'mts') THEN 'video' ELSE 'unsupported' END AS file_type, count(*) AS n FROM e GROUP BY ALL"""
 
 
 def dedup_winner(spark, d):
@@ -182,3 +193,36 @@ def malformed_timecodes(spark, d):
 
 QUERIES["malformed_timecodes"] = malformed_timecodes
 SQL["malformed_timecodes"] = "SELECT event_id, TRY_CAST(event_type AS BIGINT) AS timecode_ms FROM events WHERE TRY_CAST(event_type AS BIGINT) IS NULL"
+
+
+def run_completion(spark, d):
+    """Frames of the first deliveries are embedded by one model, those with a semantic score by the other."""
+    f = frames(spark, d).where("video_hash is not null and frame_hash is not null").select(
+        F.col("match_id").alias("frame"), F.col("video_hash").alias("video"), F.col("frame_hash").alias("digest"), "semantic").dropDuplicates(["frame"])
+    won = op.elect_winners(f, "digest", "frame")
+    own = won.where("not is_dup")
+    done = own.select("frame", F.lit("sscd").alias("vector")).union(own.where("semantic is not null").select("frame", F.lit("dino").alias("vector")))
+    totals = f.groupBy("video").agg(F.count("*").alias("total"))
+    return op.run_completion(won.select("frame", "video", "digest", "is_dup"), done, totals, ["dino", "sscd"])
+
+
+QUERIES["run_completion"] = run_completion
+SQL["run_completion"] = f"""WITH {FRAMES}, f AS (SELECT match_id AS frame, video_hash AS video, frame_hash AS digest, semantic, min(match_id) OVER (PARTITION BY frame_hash) AS winner
+    FROM frames WHERE video_hash IS NOT NULL AND frame_hash IS NOT NULL),
+d AS (SELECT f.video, count(*) AS dups FROM f JOIN f w ON w.frame = f.winner AND w.video = f.video WHERE f.frame <> f.winner GROUP BY 1),
+i AS (SELECT video, 'sscd' AS vector, count(*) FILTER (frame = winner) AS indexed, count(*) AS total FROM f GROUP BY 1
+    UNION ALL SELECT video, 'dino', count(*) FILTER (frame = winner AND semantic IS NOT NULL), count(*) FROM f GROUP BY 1)
+SELECT video, vector, indexed, coalesce(dups, 0) AS dups, total, indexed + coalesce(dups, 0) >= total AS complete FROM i LEFT JOIN d USING (video)"""
+
+
+def model_counters(spark, d):
+    r = records(spark, d)
+    dups = op.elect_winners(r, "sha256", "record_id").withColumn("status", F.when(F.col("is_dup"), "skipped_dup_batch").otherwise(F.col("status")))
+    both = dups.select("status", F.explode(F.array(F.lit("dino"), F.when(~F.col("is_frame"), "sscd"))).alias("vector")).where("vector is not null")
+    return op.model_counters(both)
+
+
+QUERIES["model_counters"] = model_counters
+SQL["model_counters"] = f"""WITH {RECORDS}, s AS (SELECT is_frame, CASE WHEN sha256 IS NOT NULL AND record_id <> min(record_id) OVER (PARTITION BY sha256) THEN 'skipped_dup_batch' ELSE status END AS status FROM records),
+v AS (SELECT status, 'dino' AS vector FROM s UNION ALL SELECT status, 'sscd' FROM s WHERE NOT is_frame)
+SELECT vector, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (starts_with(status, 'skipped')) AS skipped, count(*) FILTER (starts_with(status, 'failed')) AS failed FROM v GROUP BY 1"""

@@ -21,7 +21,7 @@ def _frame_hits(spark, d):
 
 def grouped_video_hits(spark, d):
     g = op.group_video_hits(_frame_hits(spark, d), ["entry_id"])
-    return g.select("entry_id", "video_path", "image_hash", "frame_timecode_ms", F.size("matched_frames").cast("bigint").alias("frames"), "is_reference",
+    return g.select("entry_id", "video_path", "image_hash", "frame_timecode_ms", "frames", "is_reference",
                     *[F.element_at("scores", F.lit(m)).alias(m) for m in ("exact", "altered", "semantic")])
 
 
@@ -116,7 +116,9 @@ def _session(unify: bool):
 
 def session_search_unified(spark, d):
     found = _session(True)(spark, d)
-    return found.select("file_id", "hit_key", "is_reference", "rnk", *[F.round(F.element_at("scores", F.lit(m)), 6).alias(m) for m in ("exact", "altered", "semantic")])
+    model = lambda m: F.col("provenance")[m]
+    return found.select("file_id", "hit_key", "is_reference", "rnk", "path", "image_hash", "exif", "exif_geo_data", "video_hash", "frame_timecode_ms",
+                        *[model(m)["name"].alias(f"{m}_model") for m in ("altered", "semantic")], model("semantic")["hash"].alias("semantic_hash"), *[F.round(F.element_at("scores", F.lit(m)), 6).alias(m) for m in ("exact", "altered", "semantic")])
 
 
 _SEARCHED = f"""{LIBRARY}, q AS (SELECT entry_id AS file_id, l.*, q0.is_video, q0.error, q0.file_hash FROM query_files q0 JOIN library l ON l.point_id = entry_id WHERE entry_id % 100 = 0),
@@ -124,22 +126,32 @@ s AS (SELECT q.file_id, p.point_id, p.is_reference, 'altered' AS mode, {DOT.form
     UNION ALL SELECT q.file_id, p.point_id, p.is_reference, 'semantic', {DOT.format(a='q.dino', b='p.dino')} FROM q, library p WHERE q.dino IS NOT NULL AND p.dino IS NOT NULL AND q.error IS NULL),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, mode, is_reference ORDER BY round(score, 9) DESC, point_id) AS r FROM s
     WHERE score >= CASE mode WHEN 'altered' THEN 0.75 ELSE 0.55 END) WHERE r <= 10),
-raw AS (SELECT top.file_id, top.mode, score, top.is_reference, path, coalesce(video_path, path) AS base, point_id FROM top JOIN (SELECT point_id, path, video_path FROM library) USING (point_id)),
-exact AS (SELECT file_id, path AS base FROM (SELECT DISTINCT q.file_id, p.path, dense_rank() OVER (PARTITION BY q.file_id ORDER BY p.path) AS r
-        FROM q JOIN library p ON p.image_hash = q.file_hash WHERE NOT q.is_video AND NOT p.is_reference AND q.error IS NULL) WHERE r <= 50
-    UNION ALL SELECT DISTINCT q.file_id, p.video_path FROM q JOIN library p ON p.video_hash = q.file_hash WHERE q.is_video AND NOT p.is_reference AND q.error IS NULL)"""
+raw AS (SELECT top.file_id, top.mode, score, top.is_reference, path, coalesce(video_path, path) AS base, point_id, CASE WHEN top.mode = 'altered' THEN 0 ELSE 1000000 END + r AS place
+    FROM top JOIN (SELECT point_id, path, video_path FROM library) USING (point_id)),
+exact_files AS (SELECT file_id, path AS base, path, pid FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY path) AS r FROM (
+        SELECT q.file_id, p.path, min(p.point_id) AS pid FROM q JOIN library p ON p.image_hash = q.file_hash
+        WHERE NOT q.is_video AND NOT p.is_reference AND q.error IS NULL GROUP BY ALL)) WHERE r <= 50
+    UNION ALL SELECT q.file_id, p.video_path, arg_min(p.path, (p.frame_timecode_ms, p.image_hash, p.path)), arg_min(p.point_id, (p.frame_timecode_ms, p.image_hash, p.path))
+        FROM q JOIN library p ON p.video_hash = q.file_hash WHERE q.is_video AND NOT p.is_reference AND q.error IS NULL GROUP BY ALL),
+exact AS (SELECT file_id, base FROM exact_files)"""
 QUERIES["session_search"] = session_search_unified
-SQL["session_search"] = f"""WITH {_SEARCHED}, u AS (
-    SELECT file_id, base, false AS is_reference, 1.0::DOUBLE AS exact, NULL::DOUBLE AS altered, NULL::DOUBLE AS semantic, base AS path, 0 AS ord FROM exact
-    UNION ALL SELECT file_id, base, is_reference, NULL, CASE WHEN mode = 'altered' THEN score END, CASE WHEN mode = 'semantic' THEN score END, NULL, 1 FROM raw),
-m AS (SELECT file_id, base, is_reference, max(exact) AS exact, max(altered) AS altered, max(semantic) AS semantic FROM u GROUP BY ALL),
-g AS (SELECT file_id, base, is_reference, path, max(score) AS best FROM raw GROUP BY ALL),
-f AS (SELECT file_id, base, is_reference, arg_min(path, (-best, path)) AS path FROM (SELECT g.*, (SELECT min(r.point_id) FROM raw r WHERE r.path = g.path) AS pid FROM g) GROUP BY ALL),
-k AS (SELECT m.*, CASE WHEN exact IS NOT NULL THEN base ELSE f.path END AS path FROM m LEFT JOIN f USING (file_id, base, is_reference)),
-r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN exact IS NULL THEN 1 ELSE 0 END, coalesce(greatest(altered, semantic), 0) DESC, path, is_reference) AS rnk FROM k)
-SELECT file_id, CASE WHEN r.is_reference THEN 'ref' ELSE 'case' END || ':' || base AS hit_key, r.is_reference, rnk::INT AS rnk,
-    round(exact, 6) AS exact, round(altered, 6) AS altered, round(semantic, 6) AS semantic
-FROM r JOIN q USING (file_id) WHERE q.is_video OR rnk <= 10"""
+# a path's rows, then a video's or path's representative, then the model of the first row with a mode's best score
+SQL["session_search"] = f"""WITH {_SEARCHED}, g AS (
+    SELECT file_id, base, is_reference, path, round(max(score), 9) AS best, min(place) AS place, arg_min(point_id, place) AS pid,
+        max(score) FILTER (mode = 'altered') AS altered, max(score) FILTER (mode = 'semantic') AS semantic,
+        arg_max(point_id, (round(score, 9), -place)) FILTER (mode = 'altered') AS pa, arg_max(point_id, (round(score, 9), -place)) FILTER (mode = 'semantic') AS ps FROM raw GROUP BY ALL),
+f AS (SELECT file_id, base, is_reference, arg_max(pid, (best, -place)) AS pid, max(altered) AS altered, max(semantic) AS semantic,
+        arg_max(pa, (round(altered, 9), -place)) FILTER (altered IS NOT NULL) AS pa, arg_max(ps, (round(semantic, 9), -place)) FILTER (semantic IS NOT NULL) AS ps FROM g GROUP BY ALL),
+e AS (SELECT file_id, base, false AS is_reference, path, pid FROM exact_files),
+m AS (SELECT file_id, base, is_reference, CASE WHEN e.pid IS NOT NULL THEN 1.0::DOUBLE END AS exact, altered, semantic, coalesce(e.path, l.path) AS path,
+        coalesce(e.pid, f.pid) AS pid, e.pid IS NOT NULL AND q.is_video AS whole_video, pa, ps
+    FROM f FULL JOIN e USING (file_id, base, is_reference) LEFT JOIN library l ON l.point_id = f.pid JOIN q USING (file_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN exact IS NULL THEN 1 ELSE 0 END, coalesce(greatest(altered, semantic), 0) DESC, path, is_reference) AS rnk FROM m)
+SELECT r.file_id, CASE WHEN r.is_reference THEN 'ref' ELSE 'case' END || ':' || r.base AS hit_key, r.is_reference, rnk::INT AS rnk, r.path, l.image_hash,
+    CASE WHEN NOT whole_video THEN l.exif END AS exif, CASE WHEN NOT whole_video THEN l.exif_geo_data END AS exif_geo_data, l.video_hash, l.frame_timecode_ms,
+    CASE WHEN altered IS NOT NULL THEN coalesce(a.sscd_model_name, '') END AS altered_model, CASE WHEN semantic IS NOT NULL THEN coalesce(s.dino_model_name, '') END AS semantic_model,
+    CASE WHEN semantic IS NOT NULL THEN s.dino_model_hash END AS semantic_hash, round(exact, 6) AS exact, round(altered, 6) AS altered, round(semantic, 6) AS semantic
+FROM r JOIN q USING (file_id) JOIN library l ON l.point_id = r.pid LEFT JOIN library a ON a.point_id = pa LEFT JOIN library s ON s.point_id = ps WHERE q.is_video OR rnk <= 10"""
 
 
 def session_search_by_mode(spark, d):

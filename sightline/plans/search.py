@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sightline.functions.digests import clean_digest
 from sightline.operators import search as op
-from sightline.plans.views import FRAMES, POINTS, RECORDS, frames, points, query_points, records, table
+from sightline.plans.views import FRAMES, LIBRARY, POINTS, RECORDS, _digest, frames, library, points, query_points, records, table
 
 QUERIES, SQL = {}, {}
 DOT = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) + 1e-12)"
 
 
 def _top(column: str, floor: float, k: int):
-    return lambda spark, d: op.top_k(query_points(spark, d), points(spark, d), "point_id", column, "point_id", column, floor, k).withColumn("score", F.round("score", 6))
+    def query(spark, d):
+        p = library(spark, d)
+        asked = p.where(F.col("point_id") % 100 == 0)
+        return op.top_k(asked, p, "point_id", column, "point_id", column, floor, k).withColumn("score", F.round("score", 6))
+
+    return query
 
 
 def _top_sql(column: str, floor: float, k: int) -> str:
     cos = DOT.format(a=f"q.{column}", b=f"p.{column}")
-    return f"""WITH {POINTS}, s AS (
-        SELECT q.point_id AS query_id, p.point_id, {cos} AS score FROM points q, points p WHERE q.point_id % 100 = 0)
+    return f"""WITH {LIBRARY}, s AS (
+        SELECT q.point_id AS query_id, p.point_id, {cos} AS score FROM library q, library p WHERE q.point_id % 100 = 0 AND q.{column} IS NOT NULL AND p.{column} IS NOT NULL)
     SELECT query_id, rnk::INT AS rnk, point_id, round(score, 6) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rnk FROM s WHERE score >= {floor}) WHERE rnk <= {k}"""
 
@@ -120,10 +126,12 @@ SQL["filtered_points"] = f"WITH {POINTS} SELECT point_id, video_path, frame_time
 
 
 def points_by_hash(spark, d):
-    """Any of the digests that the upload entries carry (disjunction as a semi-join)."""
-    have = table(spark, d, "query_files").select(F.col("file_hash").alias("sha256")).where("sha256 is not null").distinct()
-    return records(spark, d).join(have, "sha256", "left_semi").select("record_id", "sha256")
+    """Hits whose query is itself among the found files, by digest (disjunction as a semi-join)."""
+    h = table(spark, d, "hits")
+    have = h.select(clean_digest("image_hash", 64).alias("digest")).where("digest is not null").distinct()
+    return h.select("hit_id", clean_digest("query_hash", 64).alias("digest")).join(have, "digest", "left_semi").select("hit_id", "digest")
 
 
 QUERIES["points_by_hash"] = points_by_hash
-SQL["points_by_hash"] = f"WITH {RECORDS} SELECT record_id, sha256 FROM records WHERE sha256 IN (SELECT file_hash FROM query_files)"
+SQL["points_by_hash"] = f"""WITH h AS (SELECT hit_id, {_digest('query_hash', 64)} AS digest, {_digest('image_hash', 64)} AS other FROM hits)
+SELECT hit_id, digest FROM h WHERE digest IN (SELECT other FROM h)"""

@@ -76,15 +76,18 @@ SELECT l_suppkey, min(ord) AS ord, arg_min(reason, ord) AS reason FROM r WHERE r
 def throughput_filter(spark, d):
     """Filtered rate per clerkless order stream: one run per customer."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lit(32).alias("n"), (F.col("o_totalprice") / 100000).alias("seconds"))
-    f = op.throughput_filter(o, ["o_custkey"], "o_orderkey", "n", "seconds")
-    return f.select("o_custkey", F.col("updates").cast("bigint").alias("updates"), F.round("rate", 5).alias("rate"), F.round("variance", 6).alias("variance"))
+    f = op.remaining_time(op.throughput_filter(o, ["o_custkey"], "o_orderkey", "n", "seconds").withColumn("left", F.col("o_custkey") * 10), "left")
+    return f.select("o_custkey", F.col("updates").cast("bigint").alias("updates"), F.round("rate", 5).alias("rate"), F.round("variance", 6).alias("variance"),
+                    F.round("eta_seconds", 5).alias("eta_seconds"), F.round("eta_deviation", 5).alias("eta_deviation"))
 
 
 QUERIES["throughput_filter"] = throughput_filter
 SQL["throughput_filter"] = """WITH RECURSIVE z AS (SELECT o_custkey, 32 / (o_totalprice / 100000) AS z, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_totalprice > 0),
 f AS (SELECT o_custkey, k, z AS x, 100.0::DOUBLE AS p FROM z WHERE k = 1
-    UNION ALL SELECT z.o_custkey, z.k, f.x + (f.p + 50) / (f.p + 150) * (z.z - f.x), (1 - (f.p + 50) / (f.p + 150)) * (f.p + 50) FROM f JOIN z ON z.o_custkey = f.o_custkey AND z.k = f.k + 1)
-SELECT o_custkey, max(k) AS updates, round(arg_max(x, k), 5) AS rate, round(arg_max(p, k), 6) AS variance FROM f GROUP BY o_custkey"""
+    UNION ALL SELECT z.o_custkey, z.k, f.x + (f.p + 50) / (f.p + 150) * (z.z - f.x), (1 - (f.p + 50) / (f.p + 150)) * (f.p + 50) FROM f JOIN z ON z.o_custkey = f.o_custkey AND z.k = f.k + 1),
+g AS (SELECT o_custkey, max(k) AS updates, arg_max(x, k) AS rate, arg_max(p, k) AS variance FROM f GROUP BY o_custkey)
+SELECT o_custkey, updates, round(rate, 5) AS rate, round(variance, 6) AS variance, CASE WHEN updates >= 2 THEN round(o_custkey * 10 / rate, 5) END AS eta_seconds,
+    CASE WHEN updates >= 2 THEN round(o_custkey * 10 * sqrt(variance) / (rate * rate), 5) END AS eta_deviation FROM g"""
 
 QUERIES["median_throughput"] = lambda spark, d: table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.median("l_extendedprice").alias("median"))
 SQL["median_throughput"] = "SELECT l_suppkey, median(l_extendedprice) AS median FROM lineitem GROUP BY ALL"
@@ -115,12 +118,19 @@ SELECT video, timecode_ms, frame_index FROM g"""
 
 
 def sampled_pictures(spark, d):
-    """Sampling with repeated pictures left out (held against brute force in the tests)."""
-    f = frames(spark, d).where("video_hash is not null").withColumn("picture", F.substring("frame_hash", 1, 2))
-    return sampling.sample_frames(f, "video_hash", "timecode_ms", "picture", 2.0, 100)
+    """Sampling with repeated pictures left out, at most so many a video."""
+    f = frames(spark, d).where("video_hash is not null and timecode_ms is not null and frame_hash is not null")
+    return sampling.sample_frames(f, "video_hash", "timecode_ms", "frame_hash", 1.0, 100)
 
 
 QUERIES["sampled_pictures"] = sampled_pictures
+SQL["sampled_pictures"] = f"""WITH RECURSIVE {FRAMES}, t AS (SELECT video_hash AS video, timecode_ms, min(frame_hash) AS frame_hash FROM frames
+    WHERE video_hash IS NOT NULL AND timecode_ms IS NOT NULL AND frame_hash IS NOT NULL GROUP BY ALL),
+g AS (SELECT video, min(timecode_ms) AS timecode_ms FROM t WHERE timecode_ms >= 0 GROUP BY video
+    UNION ALL SELECT video, nxt FROM (SELECT g.video, (SELECT min(t.timecode_ms) FROM t WHERE t.video = g.video AND t.timecode_ms >= g.timecode_ms + 1000) AS nxt FROM g) WHERE nxt IS NOT NULL),
+p AS (SELECT video, frame_hash, min(timecode_ms) AS timecode_ms FROM g JOIN t USING (video, timecode_ms) GROUP BY ALL),
+n AS (SELECT *, (row_number() OVER (PARTITION BY video ORDER BY timecode_ms) - 1)::INT AS frame_index FROM p)
+SELECT video, timecode_ms, frame_hash, frame_index FROM n WHERE frame_index < 100"""
 
 
 def nearest_frame(spark, d):
@@ -177,3 +187,31 @@ SQL["coordinates"] = """SELECT c_custkey, CASE WHEN c_custkey % 4 IN (1, 3) THEN
 
 QUERIES["model_hashes"] = lambda spark, d: table(spark, d, "supplier").select("s_suppkey", media.remote_model_hash(F.concat("s_name", F.lit("//")), F.lit("m"), F.lit(512)).alias("hash"))
 SQL["model_hashes"] = "SELECT s_suppkey, 'config:' || sha256(s_name || 'm' || '512') AS hash FROM supplier"
+
+
+def shown_numbers(spark, d):
+    """Durations, rates and bars of the orders as a run would show them."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("p"))
+    seconds = F.floor(F.col("p") / 10)
+    return o.select("o_orderkey", media.duration_text(seconds).alias("duration"), media.rate_text(F.lit(1000), seconds % 50, "img").alias("rate"),
+                    media.megabyte_rate_text(F.col("p") * 1000, F.lit(60)).alias("throughput"), media.bar(F.col("o_orderkey") % 130).alias("bar"))
+
+
+QUERIES["shown_numbers"] = shown_numbers
+SQL["shown_numbers"] = """WITH o AS (SELECT o_orderkey, o_totalprice AS p, floor(o_totalprice / 10)::BIGINT AS s FROM orders)
+SELECT o_orderkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%dh %02dm %02ds', s // 3600, s // 60 % 60, s % 60) END AS duration,
+    CASE WHEN s % 50 > 0 THEN printf('%.1f img/s', round_even(1000 / (s % 50), 1)) ELSE '—' END AS rate, printf('%.1f MB/s', round_even(p * 1000 / 1e6 / 60, 1)) AS throughput,
+    repeat('█', round_even(28 * least(o_orderkey % 130, 100)::DOUBLE / 100, 0)::INT) || repeat('░', 28 - round_even(28 * least(o_orderkey % 130, 100)::DOUBLE / 100, 0)::INT) AS bar FROM o"""
+
+
+def previews(spark, d):
+    """Centre squares of pictures as large as the parts' numbers."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 1900 + 20).cast("int").alias("w"), (F.col("p_size") * 37 + 20).cast("int").alias("h"))
+    nw, nh, box = media.centre_preview("w", "h", F.lit(224))
+    return p.select("p_partkey", nw.alias("nw"), nh.alias("nh"), box["left"].alias("left"), box["bottom"].alias("bottom"), media.effective_cap(F.col("w")).alias("cap"))
+
+
+QUERIES["previews"] = previews
+SQL["previews"] = """WITH p AS (SELECT p_partkey, (p_partkey % 1900 + 20)::INT AS w, (p_size * 37 + 20)::INT AS h FROM part),
+r AS (SELECT *, greatest(224, round_even(w * (224.0::DOUBLE / least(w, h)), 0)::INT) AS nw, greatest(224, round_even(h * (224.0::DOUBLE / least(w, h)), 0)::INT) AS nh FROM p)
+SELECT p_partkey, nw, nh, ((nw - 224) // 2)::INT AS "left", ((nh - 224) // 2 + 224)::INT AS bottom, greatest(331, w) AS cap FROM r"""

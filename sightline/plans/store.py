@@ -41,7 +41,6 @@ SQL["path_remap"] = """SELECT point_id, indexed_at, coalesce(starts_with(video_p
     CASE WHEN starts_with(video_path, '/evidence/case_000000') THEN '/archive/case_0' || substr(video_path, 22) ELSE video_path END AS video_path FROM videos"""
 
 QUERIES["path_rollup"] = lambda spark, d: op.path_counts(table(spark, d, "file_records").select(parent_dir("path").alias("dir"), "status"), "dir", "status")
-SQL["path_rollup"] = "SELECT regexp_replace(path, '/[^/]*$', '') AS dir, status, count(*) AS n FROM file_records GROUP BY ROLLUP (1, 2) HAVING grouping(dir) = 0"
 SQL["path_rollup"] = """WITH d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, status FROM file_records)
 SELECT dir, status, count(*) AS n FROM d GROUP BY dir, status UNION ALL SELECT dir, NULL, count(*) FROM d GROUP BY dir"""
 
@@ -50,11 +49,10 @@ SQL["dir_counts"] = "SELECT regexp_replace(path, '/[^/]*$', '') AS dir, count(*)
 
 
 def tag_mark(spark, d):
-    t = op.marked(tags(spark), 1, 11, "positive")
+    t = op.marked(tags(spark, d), 1, 11, "positive")
     t = op.unmarked(op.marked(t, 4, 77, "negative"), 6, 7)
     flat = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
-    used = points(spark, d).select(F.count("*").alias("c"))
-    return t.select("tag_id", flat("positive_ids").alias("positives"), flat("negative_ids").alias("negatives")).crossJoin(F.broadcast(used)).select("tag_id", "positives", "negatives")
+    return t.select("tag_id", flat("positive_ids").alias("positives"), flat("negative_ids").alias("negatives"))
 
 
 QUERIES["tag_mark"] = tag_mark
@@ -65,21 +63,57 @@ SELECT tag_id, array_to_string(p, ',') AS positives, array_to_string(n, ',') AS
 
 
 def tag_upsert(spark, d):
-    """Parts of a customer's nation as tags: replaced ones keep when they were made."""
-    c = table(spark, d, "customer")
-    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("tag_id"), F.col("c_name").alias("name"), F.lit("2024-01-01").alias("created_at"), F.lit("2024-01-01").alias("updated_at"))
-    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("tag_id"), F.upper("c_name").alias("name"))
-    return op.upserted_tags(old, new, F.lit("2024-06-01"))
+    """Videos as tags, the records that came later replacing the earlier: replaced ones keep when they were made."""
+    v = table(spark, d, "videos").select("video_hash", "point_id", "indexed_at")
+    first = v.groupBy("video_hash").agg(F.min("indexed_at").alias("at"))
+    old = first.select(F.col("video_hash").alias("tag_id"), F.lit("old").alias("name"), F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
+    frames_of = table(spark, d, "matched_frames").groupBy(F.lower(F.regexp_replace("video_hash", r"^\s+|\s+$", "")).alias("tag_id")).agg(F.count("*").alias("n")).where("tag_id is not null")
+    new = frames_of.select("tag_id", F.concat(F.lit("seen "), F.col("n").cast("string")).alias("name"))
+    return op.upserted_tags(old, new, F.lit("2030-01-01 00:00:00").cast("timestamp"))
 
 
 QUERIES["tag_upsert"] = tag_upsert
-SQL["tag_upsert"] = """SELECT c_custkey AS tag_id, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name,
-    CASE WHEN c_custkey % 2 = 0 THEN '2024-01-01' ELSE '2024-06-01' END AS created_at, CASE WHEN c_custkey % 3 = 0 THEN '2024-06-01' ELSE '2024-01-01' END AS updated_at
-FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"""
+SQL["tag_upsert"] = """WITH o AS (SELECT video_hash AS tag_id, min(indexed_at) AS at FROM videos GROUP BY 1),
+n AS (SELECT lower(regexp_replace(video_hash, '^\\s+|\\s+$', '', 'g')) AS tag_id, count(*) AS n FROM matched_frames WHERE video_hash IS NOT NULL GROUP BY 1)
+SELECT coalesce(o.tag_id, n.tag_id) AS tag_id, CASE WHEN n.tag_id IS NOT NULL THEN 'seen ' || n.n ELSE 'old' END AS name,
+    coalesce(o.at, TIMESTAMPTZ '2030-01-01 00:00:00+00') AS created_at, CASE WHEN n.tag_id IS NOT NULL THEN TIMESTAMPTZ '2030-01-01 00:00:00+00' ELSE o.at END AS updated_at
+FROM o FULL JOIN n ON o.tag_id = n.tag_id"""
+
+
+def tag_retarget(spark, d):
+    """One target is set, one cleared, and every tag without negatives is deleted."""
+    t = op.retargeted(op.retargeted(tags(spark, d), 100, 31, F.lit(None)), 6, None, F.lit(None))
+    return op.deleted_tags(t, t.where("size(negative_ids) = 0")).select("tag_id", "name", "target_id")
+
+
+QUERIES["tag_retarget"] = tag_retarget
+SQL["tag_retarget"] = f"WITH {TAGS} SELECT tag_id, name, CASE tag_id WHEN 100 THEN 31 WHEN 6 THEN NULL ELSE target_id END AS target_id FROM tags WHERE len(negative_ids) > 0"
+
+
+def concept_tags(spark, d):
+    """Rows of the older shape: the polarity goes, rows that are no concept stay out."""
+    t = tags(spark, d).withColumnRenamed("tag_id", "concept_id").withColumns({"is_concept": F.col("concept_id") != 3, "polarity": F.lit("incriminating")})
+    return op.tags_of_concepts(t).select("tag_id", "name", F.size("positive_ids").cast("bigint").alias("positives"), "target_id")
+
+
+QUERIES["concept_tags"] = concept_tags
+SQL["concept_tags"] = f"WITH {TAGS} SELECT tag_id, name, len(positive_ids) AS positives, target_id FROM tags WHERE tag_id <> 3"
+
+
+def video_upsert(spark, d):
+    """Video records by hash: the last writer wins."""
+    v = table(spark, d, "videos").select("video_hash", "point_id", "total_frames", "indexed_at", "arrived_at")
+    old, new = v.where("total_frames is null"), v.where("total_frames is not null")
+    return op.merged_videos(old, new, "video_hash", "indexed_at").select("video_hash", "point_id", "total_frames", "indexed_at")
+
+
+QUERIES["video_upsert"] = video_upsert
+SQL["video_upsert"] = """SELECT video_hash, point_id, total_frames, indexed_at FROM (SELECT *, row_number() OVER (
+    PARTITION BY video_hash ORDER BY total_frames IS NOT NULL DESC, indexed_at DESC NULLS LAST, point_id DESC, total_frames DESC, arrived_at DESC) AS r FROM videos) WHERE r = 1"""
 
 
 def export_plan(spark, d):
-    return op.export_plan(tags(spark), points(spark, d).withColumn("path", F.concat(F.lit("/s/"), F.col("point_id").cast("string"), F.lit("/x.jpg"))), "point_id", "path")
+    return op.export_plan(tags(spark, d), points(spark, d).withColumn("path", F.concat(F.lit("/s/"), F.col("point_id").cast("string"), F.lit("/x.jpg"))), "point_id", "path")
 
 
 QUERIES["export_plan"] = export_plan
@@ -91,7 +125,7 @@ SELECT tag, role, point, source, CASE WHEN row_number() OVER (PARTITION BY tag,
 
 def tag_counts(spark, d):
     known = points(spark, d).select("point_id")
-    listed = tags(spark).select("name", F.explode(F.concat(
+    listed = tags(spark, d).select("name", F.explode(F.concat(
         F.transform("positive_ids", lambda x: F.struct(F.lit("positive").alias("role"), x.alias("point_id"))),
         F.transform("negative_ids", lambda x: F.struct(F.lit("negative").alias("role"), x.alias("point_id"))))).alias("e")).select("name", "e.*")
     return listed.join(known, "point_id").groupBy("name").agg(F.count_if(F.col("role") == "positive").alias("positive"), F.count_if(F.col("role") == "negative").alias("negative"))
@@ -107,7 +141,7 @@ SQL["stored_configurations"] = "SELECT DISTINCT pyav_version, extraction_fps, ma
 
 def unknown_tags(spark, d):
     """Named examples that no collection holds."""
-    ids = tags(spark).select("name", F.explode(F.concat("positive_ids", "negative_ids")).alias("point_id"))
+    ids = tags(spark, d).select("name", F.explode(F.concat("positive_ids", "negative_ids")).alias("point_id"))
     return ids.join(points(spark, d).select("point_id"), "point_id", "left_anti").select("name", "point_id")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sightline.functions.digests import clean_digest
 
@@ -43,7 +44,9 @@ def library(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "query_files").select(
         F.col("entry_id").alias("point_id"), F.col("filename").alias("path"), F.col("file_hash").alias("image_hash"), video.alias("is_video_frame"),
         F.when(video, F.col("session_id")).alias("video_path"), F.when(video, F.col("file_hash")).alias("video_hash"), (F.col("entry_id") * 1000).alias("frame_timecode_ms"),
-        (F.col("entry_id") % 5 == 0).alias("is_reference"), _usable("dino_embedding").alias("dino"), _usable("sscd_embedding").alias("sscd"))
+        (F.col("entry_id") % 5 == 0).alias("is_reference"), _usable("dino_embedding").alias("dino"), _usable("sscd_embedding").alias("sscd"),
+        (F.col("entry_id") % 7 == 0).alias("exif"), (F.col("entry_id") % 21 == 0).alias("exif_geo_data"),
+        *[x for v in ("dino", "sscd") for x in (F.when(F.col("entry_id") % 11 > 0, F.concat(F.lit(f"{v}-"), (F.col("entry_id") % 4).cast("string"))).alias(f"{v}_model_name"), F.md5("session_id").alias(f"{v}_model_hash"))])
 
 
 LIBRARY = """library AS (
@@ -52,7 +55,9 @@ LIBRARY = """library AS (
            CASE WHEN len(dino_embedding) = 128 AND len(list_filter(dino_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 128
                 AND len(list_filter(dino_embedding, lambda x: x <> 0)) > 0 THEN dino_embedding::DOUBLE[] END AS dino,
            CASE WHEN len(sscd_embedding) = 128 AND len(list_filter(sscd_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 128
-                AND len(list_filter(sscd_embedding, lambda x: x <> 0)) > 0 THEN sscd_embedding::DOUBLE[] END AS sscd
+                AND len(list_filter(sscd_embedding, lambda x: x <> 0)) > 0 THEN sscd_embedding::DOUBLE[] END AS sscd,
+           entry_id % 7 = 0 AS exif, entry_id % 21 = 0 AS exif_geo_data, CASE WHEN entry_id % 11 > 0 THEN 'dino-' || entry_id % 4 END AS dino_model_name,
+           md5(session_id) AS dino_model_hash, CASE WHEN entry_id % 11 > 0 THEN 'sscd-' || entry_id % 4 END AS sscd_model_name, md5(session_id) AS sscd_model_hash
     FROM query_files)"""
 
 
@@ -115,9 +120,24 @@ TAG_ROWS = [
 ]
 
 
-def tags(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TAG_ROWS, "tag_id long, name string, positive_ids array<long>, negative_ids array<long>, target_id long, notes string")
+EXAMPLES = 8
+
+
+def tags(spark: SparkSession, d: str) -> DataFrame:
+    """A tag per label - its first points against the first of the next label - and the odd ones above."""
+    odd = spark.createDataFrame(TAG_ROWS, "tag_id long, name string, positive_ids array<long>, negative_ids array<long>, target_id long, notes string")
+    first = table(spark, d, "embeddings").withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("_r") <= EXAMPLES)
+    own = first.groupBy(F.col("label").cast("bigint").alias("label")).agg(F.sort_array(F.collect_list(F.col("vec_id").cast("bigint"))).alias("ids"))
+    other = own.select((F.col("label") - 1).alias("label"), F.col("ids").alias("others"))
+    none = F.array().cast("array<bigint>")
+    made = own.join(other, "label", "left").select(
+        (F.col("label") + 100).alias("tag_id"), F.concat(F.lit("label-"), F.col("label").cast("string")).alias("name"), F.col("ids").alias("positive_ids"),
+        F.coalesce("others", none).alias("negative_ids"), F.lit(None).cast("bigint").alias("target_id"), F.lit("").alias("notes"))
+    return odd.unionByName(made)
 
 
 TAGS = "tags(tag_id, name, positive_ids, negative_ids, target_id, notes) AS (VALUES " + ", ".join(
-    f"({t}::BIGINT, '{n}', {p}::BIGINT[], {q}::BIGINT[], {'NULL' if g is None else g}::BIGINT, '')" for t, n, p, q, g, _ in TAG_ROWS) + ")"
+    f"({t}::BIGINT, '{n}', {p}::BIGINT[], {q}::BIGINT[], {'NULL' if g is None else g}::BIGINT, '')" for t, n, p, q, g, _ in TAG_ROWS) + f""" UNION ALL
+    SELECT a.label + 100, 'label-' || a.label, a.ids, coalesce(b.ids, []::BIGINT[]), NULL::BIGINT, ''
+    FROM (SELECT label::BIGINT AS label, list_sort(list(vec_id::BIGINT))[1:{EXAMPLES}] AS ids FROM embeddings GROUP BY 1) a
+    LEFT JOIN (SELECT label::BIGINT AS label, list_sort(list(vec_id::BIGINT))[1:{EXAMPLES}] AS ids FROM embeddings GROUP BY 1) b ON b.label = a.label + 1)"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
+from importlib.metadata import PackageNotFoundError, version
 from pathlib import Path
 
 PREFIX = "SIGHTLINE_"
@@ -27,6 +29,12 @@ class Settings:
     max_upload_bytes: int = 0
     projection_points: int = 5000
     ignore_config_mismatch: bool = False
+    model_semantic: str | None = None
+    model_copy: str | None = None
+    embedding_endpoint: str | None = None
+    embedding_model: str | None = None
+    embedding_dim: int = 0
+    max_image_pixels: int = 178_956_970
 
     def __post_init__(self) -> None:
         if self.duplicate_check not in ("hash", "filepath", "both"):
@@ -35,6 +43,14 @@ class Settings:
             raise ValueError("copy_crops must be 1 or 5")
         if self.extraction_fps <= 0 or self.max_frames < 0:
             raise ValueError("extraction_fps must be positive, max_frames not negative")
+        if self.max_image_pixels < 0:
+            raise ValueError("max_image_pixels must be positive, or 0 for no limit")
+
+    def effective_model(self, local: str | None) -> str | None:
+        """The model to load: the named one behind an endpoint, else ``local``."""
+        if self.embedding_endpoint and not self.embedding_model:
+            raise ValueError("an embedding endpoint needs an explicit embedding_model")
+        return self.embedding_model if self.embedding_endpoint else local
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> Settings:
@@ -59,19 +75,70 @@ class Settings:
         return cls(**values)
 
 
-def content_hash(root: str, skip: tuple[str, ...] = (".lock", ".tmp")) -> str:
-    """Identity of a local model: names and bytes of its files, in order of their names."""
+# fixed values: files of a model folder that hold weights or configuration
+CONTENT_SUFFIXES = (".safetensors", ".bin", ".json")
+
+
+def content_hash(root: str) -> str:
+    """Identity of a local model: a single file's bytes, or the names and bytes of a folder's content files in path order.
+
+    Files of other kinds in the folder (notes, caches, locks) do not count.
+    """
     base = Path(root)
-    files = [base] if base.is_file() else sorted((p for p in base.rglob("*") if p.is_file() and p.suffix not in skip), key=lambda p: p.name)
+    files = [base] if base.is_file() else sorted(p for p in base.rglob("*") if p.is_file() and p.suffix in CONTENT_SUFFIXES)
+    if not base.exists():
+        raise FileNotFoundError(root)
     digest = hashlib.sha256()
     for file in files:
-        digest.update(file.name.encode())
+        if file != base:
+            digest.update(file.name.encode())
         with file.open("rb") as stream:
             while chunk := stream.read(1 << 20):
                 digest.update(chunk)
     return digest.hexdigest()
 
 
+def endpoint_hash(url: str, model: str, dim: int) -> str:
+    """Identity of a model behind an endpoint: its configuration."""
+    return "config:" + hashlib.sha256(f"{url.rstrip('/')}{model}{dim}".encode()).hexdigest()
+
+
+def expected_hashes(settings: Settings, vectors: set[str]) -> dict[str, str]:
+    """Model hashes that the settings would produce for the given vectors.
+
+    Behind an endpoint all vectors share one hash, or have none while model or
+    size are not named; a local model that cannot be read has none.
+    """
+    if settings.embedding_endpoint:
+        if not settings.embedding_model or not settings.embedding_dim:
+            return {}
+        shared = endpoint_hash(settings.embedding_endpoint, settings.embedding_model, settings.embedding_dim)
+        return dict.fromkeys(sorted(vectors), shared)
+    found = {}
+    for vector, path in (("dino", settings.model_semantic), ("sscd", settings.model_copy)):
+        if vector in vectors and path:
+            try:
+                found[vector] = content_hash(path)
+            except OSError:
+                continue
+    return found
+
+
+# libraries whose versions are recorded with results
+LIBRARIES = ("pyspark", "pyarrow", "numpy", "pandas", "pillow", "av")
+
+
+def library_versions(libraries: tuple[str, ...] = LIBRARIES) -> dict[str, str]:
+    """Version of Python and of each library, ``unknown`` where it is not installed."""
+    found = {"python": sys.version}
+    for name in libraries:
+        try:
+            found[name] = version(name)
+        except PackageNotFoundError:
+            found[name] = "unknown"
+    return found
+
+
 def save_calibration(path: str, key: str, batch: int) -> None:
     """Remember a probed batch size; the file is replaced as a whole."""
     file = Path(path)

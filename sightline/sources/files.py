@@ -15,7 +15,7 @@ from sightline.functions.media import extension, file_type
 CHUNK = 1 << 20
 
 
-def scan(spark: SparkSession, root: str, heif: bool = True, with_empty: bool = True) -> DataFrame:
+def scan(spark: SparkSession, root: str, heif: bool | None = None, with_empty: bool = True) -> DataFrame:
     """``(path, ext, file_type, mtime, size)`` of every file below ``root``; contents are not read.
 
     The source passes over files of length 0.  ``with_empty`` adds them, without

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +35,8 @@ class Table:
         return self.spark.read.parquet(f"{self.root}/{now['version']}")
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> str:
+        """A new version; a vector of another size than declared ends the write, before the pointer moves."""
+        df = with_checked_sizes(df, self.vectors())
         version = f"v-{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
         out = df.write.mode("errorifexists")
         (out.partitionBy(*partition_by) if partition_by else out).parquet(f"{self.root}/{version}")
@@ -55,9 +57,16 @@ class Table:
             raise FileNotFoundError(f"{self.root}: no snapshot {name}")
         self._put("current.json", kept)
 
+    def vectors(self) -> dict[str, int]:
+        """Declared vectors and their sizes; a table that declares one unnamed vector is of an older layout and refused."""
+        have = self._get("vectors.json")
+        if have is not None and (not isinstance(have, dict) or "size" in have):
+            raise ValueError(f"{self.root} has the older layout of one unnamed vector; remove it and index again")
+        return have or {}
+
     def configure(self, vectors: dict[str, int]) -> None:
         """Declare vectors and sizes; known ones must agree, new ones are added."""
-        have = self._get("vectors.json") or {}
+        have = self.vectors()
         for name, dim in vectors.items():
             if have.get(name, dim) != dim:
                 raise ValueError(f"vector {name} has {have[name]} values, not {dim}")
@@ -65,11 +74,30 @@ class Table:
 
     def modes(self) -> set[str]:
         """Search modes that the table allows: exact if it exists, the vector modes if configured."""
-        vectors = self._get("vectors.json") or {}
+        vectors = self.vectors()
         found = {"exact"} if self.exists() or vectors else set()
         return found | {m for m, v in (("altered", "sscd"), ("semantic", "dino")) if v in vectors}
 
 
+def with_checked_sizes(df: DataFrame, vectors: dict[str, int]) -> DataFrame:
+    """The same rows; reading one whose vector has another size than declared is an error."""
+    checked = {}
+    for name, dim in vectors.items():
+        if name in df.columns:
+            wrong = F.raise_error(F.concat(F.lit(f"vector {name} has "), F.size(name).cast("string"), F.lit(f" values, not {dim}")))
+            checked[name] = F.when(F.col(name).isNull() | (F.size(name) == dim), F.col(name)).otherwise(wrong.cast(df.schema[name].dataType))
+    return df.withColumns(checked) if checked else df
+
+
+def merged_videos(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """Video records by key: the last writer wins, new rows over old ones, later ``order`` over earlier."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (key, "_new")]
+    # a maximum per key is a partial aggregate: no key is gathered; the values end ties
+    place = F.struct("_new", order, *[F.col(c) for c in rest if c != order])
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), place).alias("_v")).select(key, "_v.*")
+
+
 def merged_points(old: DataFrame, new: DataFrame, key: str, core: list[str], refreshed: list[str]) -> DataFrame:
     """Insert or update by key: known points keep their core columns, take new values of ``refreshed``.
 
@@ -134,6 +162,33 @@ def unmarked(tags: DataFrame, tag_id, point_id) -> DataFrame:
     return tags.withColumns({c: F.when(hit, F.array_remove(c, F.lit(point_id))).otherwise(F.col(c)) for c in ("positive_ids", "negative_ids")})
 
 
+def retargeted(tags: DataFrame, tag_id, target_id, now: Column) -> DataFrame:
+    """Set a tag's target, or clear it with None."""
+    hit = F.col("tag_id") == F.lit(tag_id)
+    out = tags.withColumn("target_id", F.when(hit, F.lit(target_id).cast(tags.schema["target_id"].dataType)).otherwise(F.col("target_id")))
+    return out.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))) if "updated_at" in tags.columns else out
+
+
+def deleted_tags(tags: DataFrame, tag_ids: DataFrame) -> DataFrame:
+    """Tags without the given ones; unknown ids change nothing."""
+    return tags.join(tag_ids.select("tag_id").distinct(), "tag_id", "left_anti")
+
+
+def tags_of_concepts(concepts: DataFrame) -> DataFrame:
+    """Tags from the older concept rows: their id becomes the tag's, the polarity is dropped."""
+    return concepts.where("is_concept").select(F.col("concept_id").alias("tag_id"), *[c for c in concepts.columns if c not in ("is_concept", "concept_id", "polarity")])
+
+
+def remap_preview(points: DataFrame, columns: list[str], old: str, new: str, most: int = 10) -> DataFrame:
+    """At most ``most`` of the rows that ``remapped`` would move, in no order: reading stops when they are found."""
+    return remapped(points, columns, old, new).where("moved").limit(most)
+
+
+def thumbnail_candidates(points: DataFrame, image_hash: str, most: int = 4) -> DataFrame:
+    """At most ``most`` files that hold a picture's content, to make its thumbnail from."""
+    return points.where(F.col("image_hash") == image_hash).select("path", "is_video_frame", "video_path", "frame_timecode_ms").limit(most)
+
+
 def export_plan(tags: DataFrame, points: DataFrame, point_id: str, path: str) -> DataFrame:
     """``(tag, role, point, source, name)``: files to copy, with names free of collisions.
 

@@ -1,3 +1,4 @@
+import hashlib
 import struct
 from datetime import datetime
 
@@ -62,6 +63,63 @@ def test_tags(collections):
     assert collections.classify_entries(collections.case, 0.9).where("tag_id = 2").count() == 2
 
 
+def test_expected_hashes(tmp_path):
+    (tmp_path / "w.bin").write_bytes(b"1")
+    local = settings.Settings(model_semantic=str(tmp_path), model_copy=str(tmp_path / "gone"))
+    assert settings.expected_hashes(local, {"dino", "sscd"}) == {"dino": hashlib.sha256(b"w.bin1").hexdigest()} and settings.expected_hashes(local, {"sscd"}) == {}
+    remote = settings.Settings(embedding_endpoint="http://h/", embedding_model="m", embedding_dim=8)
+    assert settings.expected_hashes(remote, {"dino", "sscd"}) == dict.fromkeys(("dino", "sscd"), "config:" + hashlib.sha256(b"http://hm8").hexdigest())
+    assert settings.expected_hashes(settings.Settings(embedding_endpoint="http://h/"), {"dino"}) == {}
+    assert remote.effective_model("x") == "m" and local.effective_model("x") == "x"
+    with pytest.raises(ValueError):
+        settings.Settings(embedding_endpoint="http://h/").effective_model("x")
+    found = settings.library_versions(("pyspark", "no-such-library"))
+    assert found["no-such-library"] == "unknown" and found["pyspark"][0].isdigit() and "python" in found
+
+
+def test_tag_calls(spark, collections):
+    assert collections.get_tag(1)["name"] == "old"
+    assert [r["target_id"] for r in collections.set_target(1, 9).where("tag_id = 1").collect()] == [9] and collections.set_target(1, "").where("target_id is not null").count() == 0
+    left, was = collections.delete_tag(1)
+    assert was and left.count() == 3 and collections.delete_tag(99)[1] is False
+    for call in (lambda: collections.get_tag(99), lambda: collections.set_target(99, 1), lambda: collections.mark(99, 1, "positive"), lambda: collections.unmark(99, 1)):
+        with pytest.raises(KeyError):
+            call()
+    assert [r["name"] for r in collections.skipped_tags().collect()] == ["gone"]
+    only = collections.triage(1, limit=5, where=F.col("point_id") > 20).collect()
+    assert only and all(r["cand"] > 20 for r in only)
+    for call in (lambda: collections.triage(1, limit=501), lambda: collections.explore(1, limit=0), lambda: collections.explore(1, collection="x")):
+        with pytest.raises(ValueError):
+            call()
+    # the reference collection holds none of the labelled points
+    assert collections.explore(1, 3, collection="reference")[1] == "random"
+    assert collections.metadata("/p/31.jpg").first()["frame_timecode_ms"] == 310 and collections.frame_metadata(f"{9:064x}", 320).first()["path"] == "/p/32.jpg"
+
+
+def test_example_cache(spark, collections):
+    cache = api.ExampleCache(spark, most=2)
+    assert cache.examples(collections, 1).count() == 4 and cache.examples(collections, 1) is cache.examples(collections, 1)
+    cache.examples(collections, 2), cache.examples(collections, 3)
+    assert len(cache) == 2
+
+
+def test_probing_is_repeated():
+    class Failing:
+        def __init__(self, times):
+            self.times = times
+
+        def modes(self):
+            self.times -= 1
+            if self.times >= 0:
+                raise OSError("away")
+            return {"exact"}
+
+    waits = []
+    assert api.probed_modes(Failing(2), sleep=waits.append) == ({"exact"}, False, None) and waits == [1, 2]
+    modes, reference, error = api.probed_modes(Failing(9), sleep=waits.append)
+    assert modes == set() and not reference and "away" in error and waits == [1, 2, 1, 2, 4]
+
+
 def test_settings(tmp_path):
     s = settings.Settings.from_env({"SIGHTLINE_MAX_FRAMES": " 7 ", "SIGHTLINE_IGNORE_CONFIG_MISMATCH": "Yes", "SIGHTLINE_COLLECTION": "", "SIGHTLINE_EXTRACTION_FPS": "0.5"})
     assert (s.max_frames, s.ignore_config_mismatch, s.collection, s.extraction_fps) == (7, True, "case", 0.5)
@@ -75,7 +133,9 @@ def test_settings(tmp_path):
     assert settings.load_calibrations(file) == {"a": 32, "b": 64}
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "w.bin").write_bytes(b"1")
+    (tmp_path / "m" / "README.md").write_bytes(b"notes do not count")
     one = settings.content_hash(str(tmp_path / "m"))
+    assert one == hashlib.sha256(b"w.bin" + b"1").hexdigest() and settings.content_hash(str(tmp_path / "m" / "w.bin")) == hashlib.sha256(b"1").hexdigest()
     (tmp_path / "m" / "w.bin").write_bytes(b"2")
     assert settings.content_hash(str(tmp_path / "m")) != one
     assert settings.checked_tag(" a ", "n", "1, ,2") == ("a", "n", ["1", "2"])

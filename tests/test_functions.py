@@ -44,7 +44,12 @@ def test_vectors(spark):
 
 
 def test_media(spark):
-    assert column(spark, ["a/b.JPG", "a.b/c", "x.Mp4", "y.heic", None], media.file_type("x")) == ["image", "unsupported", "video", "image", "unsupported"]
+    assert column(spark, ["a/b.JPG", "a.b/c", "x.Mp4", "y.heic", None], media.file_type("x", heif=True)) == ["image", "unsupported", "video", "image", "unsupported"]
+    assert column(spark, ["y.heic", "a/.jpg", "a.", "b.psd", "c.vob"], media.file_type("x", heif=False)) == ["unsupported", "unsupported", "unsupported", "image", "unsupported"]
+    assert column(spark, [59.9, 60.0, 3725.0], media.duration_text("x"), "double") == ["59s", "1m 00s", "1h 02m 05s"]
+    assert column(spark, [0.0, 2.0], media.rate_text(F.lit(5), "x", "img"), "double") == ["\u2014", "2.5 img/s"]
+    assert column(spark, [-5.0, 50.0, 200.0], media.bar("x", 4), "double") == ["\u2591" * 4, "\u2588" * 2 + "\u2591" * 2, "\u2588" * 4]
+    assert column(spark, [100, 512], media.effective_cap("x"), "int") == [331, 512]
     assert column(spark, ["/a/b/c.jpg", "/a/v.mp4::frame_3", "c"], media.parent_dir("x")) == ["/a/b", "/a", "c"]
     assert column(spark, ["/a/x", "/b/x"], media.move_prefix("x", "/a", "/c/d")) == ["/c/d/x", "/b/x"]
     assert column(spark, [7, 12345678901], media.frame_file("/r", F.lit("h"), "x"), "long") == ["/r/h/0000000007ms.jpg", "/r/h/12345678901ms.jpg"]

@@ -28,6 +28,8 @@ def test_search_in_blocks(spark, monkeypatch):
     whole = sorted(rows(search.top_k(df, df, "i", "v", "i", "v", None, 3)))
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
     assert sorted(rows(search.top_k(df, df, "i", "v", "i", "v", None, 3))) == whole
+    monkeypatch.setattr(search, "QUERY_BYTES", 20 * 8 * 8)
+    assert sorted(rows(search.top_k(df, df, "i", "v", "i", "v", None, 3))) == whole
     assert all(q == p for q, r, p, _ in whole if r == 1)
 
 
@@ -63,7 +65,8 @@ def test_grouping_does_not_depend_on_delivery(spark):
         random.Random(shuffle).shuffle(data)
         (g,) = hits.group_video_hits(spark.createDataFrame(data, schema), ["q"]).collect()
         assert (g["path"], g["image_hash"], g["frame_timecode_ms"], g["scores"], g["is_reference"]) == ("p0", "h0", 30, {"altered": 0.9}, True)
-        assert [f["timecode_ms"] for f in g["matched_frames"]] == [0, 10, 20, 30]
+        assert g["frames"] == 4
+        assert sorted(r["timecode_ms"] for r in hits.frames_of(spark.createDataFrame(data, schema), ["q"]).collect()) == [0, 10, 20, 30]
 
 
 def test_merging(spark):
@@ -74,6 +77,18 @@ def test_merging(spark):
     assert m["scores"] == {"altered": 0.95, "semantic": 0.95}
 
 
+def test_models_follow_the_best_score(spark):
+    schema = "key string, path string, image_hash string, query_timecode_ms long, scores map<string,double>, provenance map<string,struct<name:string,hash:string>>, exif boolean, video_hash string, is_reference boolean, ord long"
+    data = [("k", "a", None, 1, {"altered": 0.7, "semantic": 0.9}, {"altered": ("x", "1"), "semantic": ("s", "1")}, True, "v", None, 1),
+            ("k", "b", "h", 2, {"altered": 0.9, "semantic": 0.9}, {"altered": ("y", "2"), "semantic": ("t", "2")}, False, "w", None, 2), ("k", "c", "g", 3, {"exact": 1.0}, None, None, None, None, 3)]
+    (m,) = hits.merge_hits(spark.createDataFrame(data, schema), ["key"]).collect()
+    assert (m["path"], m["exif"], m["video_hash"]) == ("a", True, "v") and m["scores"] == {"altered": 0.9, "semantic": 0.9, "exact": 1.0}
+    assert {k: tuple(v) for k, v in m["provenance"].items()} == {"altered": ("y", "2"), "semantic": ("s", "1")}
+    schema = schema.replace("key string", "key string, video_path string, frame_timecode_ms long")
+    (g,) = hits.group_video_hits(spark.createDataFrame([("k", "/v", o * 10, *d[1:]) for o, d in enumerate(data)], schema), ["key"]).collect()
+    assert (g["path"], g["frame_timecode_ms"], g["frames"], {k: v["name"] for k, v in g["provenance"].items()}) == ("c", 20, 3, {"altered": "y", "semantic": "s"})
+
+
 def test_frames_of_merged_hits(spark):
     schema = "key string, timecode_ms long, frame_hash string, scores map<string,double>, ord long"
     data = [("k", 10, "b", {"altered": 0.7}, 2), ("k", 10, "a", {"altered": 0.9, "semantic": 0.6}, 3), ("k", 10, "c", {"semantic": 0.8}, 1), ("k", None, None, {"exact": 1.0}, 4)]
@@ -312,13 +327,108 @@ def test_exported_names_do_not_collide(spark):
     assert got == [("a_b", "negative", 2, "p.jpg"), ("a_b", "positive", 1, "p.jpg"), ("a_b", "positive", 2, other), ("a_b", "positive", 3, "q.jpg")]
 
 
-def test_reference_vectors_fall_back(spark):
+def test_example_vectors_fall_back(spark):
     tags = spark.createDataFrame([(1, [1, 9], [2])], "tag_id long, positive_ids array<long>, negative_ids array<long>")
     case = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "point_id long, v array<double>")
     ref = spark.createDataFrame([(1, [7.0]), (9, [9.0])], "point_id long, v array<double>")
-    got = {r["ref_id"]: r["v"] for r in triage.reference_vectors(tags, case, ref, "point_id", "v").collect()}
+    ids = triage.reference_ids(tags)
+    got = {r["ref_id"]: r["v"] for r in triage.example_vectors(ids, case, ref, "point_id", "v").collect()}
     assert got == {1: [1.0], 2: [2.0], 9: [9.0]}
-    assert {r["ref_id"]: r["v"] for r in triage.reference_vectors(tags, case, None, "point_id", "v").collect()}[9] is None
+    assert {r["ref_id"] for r in triage.example_vectors(ids, case, None, "point_id", "v").collect()} == {1, 2}
+
+
+def test_scoring_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.standard_normal((50, 6)))] + [(60, None), (61, [float("nan")] * 6)], "point_id long, v array<double>").repartition(3)
+    tags = spark.createDataFrame([(1, list(range(9)), [20, 21, 60], None), (2, [3], [], 7), (3, [], [5], None), (4, list(range(10, 19)), [900], 61)], "tag_id long, positive_ids array<long>, negative_ids array<long>, target_id long")
+    shape = lambda df: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+    whole = shape(triage.scored(points, tags, points, None, "point_id", "v"))
+    m = {r["point_id"]: np.array(r["v"]) for r in points.where("point_id < 60").collect()}
+    cos = lambda a, b: float(m[a] @ m[b] / np.linalg.norm(m[a]) / np.linalg.norm(m[b]))
+    pairs = [(i, i) for i in range(2)] + [(p, n) for p in range(9) for n in range(2) if p != n]
+    got = {(r[0], r[1]): r for r in whole}
+    assert len(whole) == 150 and {k[0] for k in got} == {1, 2, 4}
+    for c in range(50):
+        assert got[1, c][2] == sum(round(cos(c, p), 9) > round(cos(c, 20 + n), 9) for p, n in pairs) and got[1, c][4] == 18
+        assert got[2, c][2:] == (None, round(cos(c, 3), 6), None, round(cos(c, 7), 6))
+        assert abs(got[4, c][3] - max(cos(c, p) for p in range(10, 19))) < 1e-5
+    # many blocks, and tags whose positives are spread over several chunks
+    monkeypatch.setattr(triage, "EXAMPLES", 5)
+    monkeypatch.setattr(triage, "CHUNK", 3)
+    spread = shape(triage.scored(points, tags, points, None, "point_id", "v"))
+    assert [r[:5] for r in spread] == [r[:5] for r in whole]
+    best = triage.ranked(triage.scored(points, tags, points, None, "point_id", "v", 4), 4)
+    assert shape(best.select("tag_id", "cand", "rnk")) == shape(triage.ranked(triage.scored(points, tags, points, None, "point_id", "v"), 4).select("tag_id", "cand", "rnk"))
+
+
+def test_labelled_copies_count_once(spark):
+    case = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.8, 0.6])], "point_id long, v array<double>")
+    tags = spark.createDataFrame([(1, [1], [2], None)], "tag_id long, positive_ids array<long>, negative_ids array<long>, target_id long")
+    alone = rows(triage.scored(case, tags, case, None, "point_id", "v").orderBy("cand"))
+    copied = rows(triage.scored(case, tags, case, case.withColumn("v", F.reverse("v")), "point_id", "v").orderBy("cand"))
+    assert alone == copied and [(r[2], r[4]) for r in alone] == [(1, 1), (0, 1), (1, 1)]
+
+
+def test_explored_collection(spark):
+    case = spark.createDataFrame([(1, [1.0])], "point_id long, v array<double>")
+    assert triage.chosen_collection("dataset", case, None) is case
+    for bad in ("x", "reference"):
+        with pytest.raises(ValueError):
+            triage.chosen_collection(bad, case, None)
+    tags = spark.createDataFrame([(1, [2, 1], [9]), (2, [9], [])], "tag_id long, positive_ids array<long>, negative_ids array<long>")
+    assert sorted(rows(triage.examples_in(tags, case, "point_id"))) == [(1, [1], []), (2, [], [])]
+
+
+def test_table_refuses_what_does_not_fit(spark, tmp_path):
+    t = store.Table(spark, str(tmp_path / "t"))
+    t.configure({"dino": 2})
+    t.write(spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id long, dino array<float>"))
+    with pytest.raises(Exception, match="vector dino has 3 values, not 2"):
+        t.write(spark.createDataFrame([(3, [1.0, 2.0, 3.0])], "id long, dino array<float>"))
+    assert t.read().count() == 2
+    t._put("vectors.json", {"size": 4, "distance": "cosine"})
+    with pytest.raises(ValueError, match="older layout"):
+        t.modes()
+
+
+def test_tag_changes(spark):
+    tags = spark.createDataFrame([(1, "a", [1], [2], 5), (2, "b", [3], [], None)], "tag_id long, name string, positive_ids array<long>, negative_ids array<long>, target_id long")
+    now = F.lit(None)
+    assert rows(store.retargeted(tags, 1, None, now).select("tag_id", "target_id")) == [(1, None), (2, None)]
+    assert rows(store.retargeted(tags, 2, 7, now).select("tag_id", "target_id")) == [(1, 5), (2, 7)]
+    assert rows(store.deleted_tags(tags, spark.createDataFrame([(2,), (2,), (9,)], "tag_id long")).select("tag_id")) == [(1,)]
+    concepts = spark.createDataFrame([(True, "c1", "w", ["p"], "x"), (False, "c2", "v", [], "y")], "is_concept boolean, concept_id string, name string, positive_ids array<string>, polarity string")
+    assert store.tags_of_concepts(concepts).columns == ["tag_id", "name", "positive_ids"] and rows(store.tags_of_concepts(concepts)) == [("c1", "w", ["p"])]
+    points = spark.createDataFrame([(i, f"/a/{i}", "h") for i in range(30)], "point_id long, path string, image_hash string")
+    assert store.remap_preview(points, ["path"], "/a", "/b").count() == 10 and store.remap_preview(points, ["path"], "/x", "/b").count() == 0
+
+
+def test_run_completion(spark):
+    f = spark.createDataFrame([(1, "v", "a", False), (2, "v", "a", True), (3, "w", "a", True), (4, "w", "b", False), (5, "v", None, False)], "frame long, video string, digest string, is_dup boolean")
+    done = spark.createDataFrame([(1, "dino"), (4, "dino"), (5, "dino"), (1, "sscd")], "frame long, vector string")
+    totals = spark.createDataFrame([("v", 3), ("w", 2), ("x", 0)], "video string, total int")
+    got = {(r["video"], r["vector"]): (r["indexed"], r["dups"], r["complete"]) for r in dedup.run_completion(f, done, totals, ["dino", "sscd"]).collect()}
+    # the repeated frame of w stands for one of v: it never got w's place
+    assert got == {("v", "dino"): (2, 1, True), ("v", "sscd"): (1, 1, False), ("w", "dino"): (1, 0, False), ("w", "sscd"): (0, 0, False)}
+
+
+def test_colliding_digests(spark):
+    p = spark.createDataFrame([("m", "s1", "/a"), ("m", "s2", "/b"), ("m", "s2", "/b"), ("n", "s3", "/c"), ("k", None, "/d")], "md5 string, sha256 string, path string")
+    q = spark.createDataFrame([(1, "m", "s1"), (2, "n", "s9"), (3, "n", "s3"), (4, "m", "s7"), (5, None, "s1")], "query_id long, md5 string, sha256 string")
+    assert sorted(rows(search.md5_collisions(q, p))) == [(1, "/b"), (2, "/c"), (4, "/a"), (4, "/b")]
+
+
+def test_models_run_once(spark, tmp_path):
+    class Counting(embed.HashEmbedder):
+        def embed(self, contents):
+            with open(tmp_path / "calls", "a") as log:
+                log.write("x" * len(contents))
+            return super().embed(contents)
+
+    uploads = spark.createDataFrame([(i, bytes([i]), False, None) for i in range(5)], "file_id long, content binary, is_video boolean, query_timecode_ms long")
+    f, v = embed.analysed(uploads, {"semantic": lambda: Counting(4)})
+    assert f.count() == 5 and v.count() == 5 and (tmp_path / "calls").stat().st_size == 5
+    assert embed.picture_kind(b"\x89PNG\r\n") == "image/png" and embed.picture_kind(b"?") == "application/octet-stream"
 
 
 def test_remote_answers():

@@ -32,6 +32,8 @@ LOAD_SAMPLE = 20_000
 MATRIX_VALUES = 4_000_000
 # error bounds are so many times the code's standard error
 EPS = 2.5
+# the finer code of a value that is normal: where it is cut, and what stands for the values above and below
+CUT, LARGE, SMALL = 0.9816, 1.510, 0.4528
 # pairs of packed codes that are compared at once: they stay in the processor's cache
 CODES_AT_ONCE = 131_072
 SEED = 20_24
@@ -101,11 +103,11 @@ def _records(ids, hashes, v, turn, filed: int):
         cells[lo:lo + step] = np.sort(strong * 2 + (np.take_along_axis(c, strong, 1) > 0), axis=1)
         first[lo:lo + step] = c[:, :dim]
     r = np.zeros(len(v), _record(dim, filed, turn.shape[1] // dim))
-    sign, large = first > 0, np.abs(first) > 0.9816 / dim**0.5
+    sign, large = first > 0, np.abs(first) > CUT / dim**0.5
     r["id"], r["h"] = ids, hashes
     r["sign"], r["large"] = np.packbits(sign, axis=1), np.packbits(large, axis=1)
     r["alpha"] = np.abs(first).sum(1) / dim**0.5
-    r["beta"] = (np.abs(first) * np.where(large, 1.510, 0.4528)).sum(1) / dim**0.5
+    r["beta"] = (np.abs(first) * np.where(large, LARGE, SMALL)).sum(1) / dim**0.5
     r["cells"][:, :take] = cells
     if take < filed:
         r["cells"][:, take:] = cells[:, -1:]
@@ -271,18 +273,50 @@ def _bits_apart(cosine: float, dim: int, eps: float) -> int:
     return int(dim * p + eps * (dim * p * (1 - p)) ** 0.5)
 
 
+# bits that mark the cells of a record
+MARKS = 1024
+
+
+def _cell_marks(cells, cell: int):
+    """Per record, as 64-bit words: the cells before ``cell`` that it is filed under, by number or its remainder."""
+    import numpy as np
+
+    marks = np.zeros((len(cells), MARKS), bool)
+    who, which = np.nonzero(cells < cell)
+    marks[who, cells[who, which] % MARKS] = True
+    return np.packbits(marks, axis=1).view(np.uint64)
+
+
+def _shared_before(cells, marks, cell: int, i, j):
+    """Which pairs share a cell before ``cell``."""
+    import numpy as np
+
+    part = max(1, MATRIX_VALUES // marks.shape[1])
+    shared = np.concatenate([(marks[i[a:a + part]] & marks[j[a:a + part]]).any(1) for a in range(0, len(i), part)])
+    if cell > MARKS and shared.any():
+        # numbers with one remainder may differ: these pairs are looked at cell by cell
+        at = np.flatnonzero(shared)
+        a, b = cells[i[at]], cells[j[at]]
+        same = np.zeros(len(at), bool)
+        for p in range(a.shape[1]):
+            low = a[:, p] < cell
+            if low.any():
+                for q in range(b.shape[1]):
+                    same |= low & (a[:, p] == b[:, q])
+        shared[at] = same
+    return shared
+
+
 def _visiting(r, cell: int, crossed: bool, floor: float, k: int | None, dim: int, eps: float):
     """Which records of a cell have a partner that the bounds cannot rule out."""
     import numpy as np
 
-    root, n = dim**0.5, len(r)
-    sign = (np.unpackbits(r["sign"], axis=1).astype(np.float32) * 2 - 1) / root
-    fine = sign * np.where(np.unpackbits(r["large"], axis=1) > 0, np.float32(1.510), np.float32(0.4528))
+    n = len(r)
     alpha, beta = r["alpha"].astype(np.float32), r["beta"].astype(np.float32)
-    sign /= alpha[:, None]
-    fine /= beta[:, None]
     bound = eps * np.sqrt(np.maximum(1 - alpha**2, 0)) / alpha / (dim - 1) ** 0.5
-    words, most = _words(r["sign"]), _bits_apart(floor, dim, eps)
+    words, large, most = _words(r["sign"]), _words(r["large"]), _bits_apart(floor, dim, eps)
+    wide = sum(np.bitwise_count(w).astype(np.float32) for w in large)
+    marks = _cell_marks(r["cells"], cell)
     visits = np.zeros(n, bool)
     step = rows_at_once(n)
     for lo in range(0, n, step):
@@ -292,11 +326,19 @@ def _visiting(r, cell: int, crossed: bool, floor: float, k: int | None, dim: int
             go &= r["block"][i] != r["block"][j]
         i, j = i[go], j[go]
         upper, lower = np.empty(len(i), np.float32), np.empty(len(i), np.float32)
-        part = max(1, MATRIX_VALUES // dim)
+        part = MATRIX_VALUES // 16
         for a in range(0, len(i), part):
             x, y = i[a:a + part], j[a:a + part]
             # one-bit code against the finer code, both ways round: both estimate the inner product
-            e = (np.einsum("ij,ij->i", sign[x], fine[y]) + np.einsum("ij,ij->i", fine[x], sign[y])) / 2
+            apart, x_wide, y_wide = (np.zeros(len(x), np.float32) for _ in range(3))
+            for w, big in zip(words, large):
+                differ = w[x] ^ w[y]
+                apart += np.bitwise_count(differ)
+                x_wide += np.bitwise_count(differ & big[x])
+                y_wide += np.bitwise_count(differ & big[y])
+            common = np.float32(SMALL) * (dim - 2 * apart)
+            e = ((common + np.float32(LARGE - SMALL) * (wide[y] - 2 * y_wide)) / (alpha[x] * beta[y])
+                 + (common + np.float32(LARGE - SMALL) * (wide[x] - 2 * x_wide)) / (alpha[y] * beta[x])) / (2 * dim)
             slack = np.maximum(bound[x], bound[y])
             upper[a:a + part], lower[a:a + part] = e + slack, e - slack
         go = upper >= floor
@@ -313,13 +355,7 @@ def _visiting(r, cell: int, crossed: bool, floor: float, k: int | None, dim: int
         if not len(i):
             continue
         # a pair belongs to the first of the cells it shares
-        a, b = r["cells"][i], r["cells"][j]
-        first = np.ones(len(i), bool)
-        for p in range(a.shape[1]):
-            low = a[:, p] < cell
-            if low.any():
-                for q in range(b.shape[1]):
-                    first &= ~(low & (a[:, p] == b[:, q]))
+        first = ~_shared_before(r["cells"], marks, cell, i, j)
         visits[i[first]] = True
         visits[j[first]] = True
     return visits

@@ -170,6 +170,17 @@ def test_codes_and_keys():
     assert wide["cells"].base == np.dtype("<u4") and cells._record(128, 8, 256)["cells"].base == np.dtype("<u2")
 
 
+def test_shared_cells():
+    rng = np.random.default_rng(4)
+    for top in (400, 5000):
+        c = np.sort(rng.integers(0, top, (60, 8)), axis=1).astype(np.uint32)
+        c[:30, 2] = c[30:, 3]
+        for cell in (top // 3, top):
+            i, j = np.divmod(np.arange(3600), 60)
+            got = cells._shared_before(c, cells._cell_marks(c, cell), cell, i, j)
+            assert got.tolist() == [bool({x for x in c[a] if x < cell} & set(c[b])) for a, b in zip(i, j)]
+
+
 def test_hot_cell_is_cut_into_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     v = planted(rng, [150, 30], 0.5)

@@ -16,6 +16,34 @@ _VECTORS = """
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY field, a ORDER BY round(cosine, 6) DESC, b) AS rn FROM pairs)"""
 
+
+
+def _digest(column: str, digits: int) -> str:
+    bare = f"regexp_replace(lower(regexp_replace({column}, '^\\s+|\\s+$', '', 'g')), '^(sha-?256\\s*[:=]\\s*|md5\\s*[:=]\\s*|0x)', '')"
+    return f"CASE WHEN regexp_full_match({bare}, '[0-9a-f]{{{digits}}}') AND {bare} <> repeat(left({bare}, 1), {digits}) THEN {bare} END"
+
+
+# one notation for digests and paths, all earlier records that a record would repeat if they are accepted, and then the
+# rule by rounds: a record is accepted (1) once all of those are known to repeat others, and repeats one (2) once any is accepted
+_REPEATS = f"""WITH RECURSIVE bare AS (
+    SELECT record_id AS id, coalesce(batch_no, 2147483647) AS batch, {_digest('sha256', 64)} AS sha, {_digest('md5', 32)} AS md5, regexp_replace(path, '^\\s+|\\s+$', '', 'g') AS b FROM file_records WHERE record_id IS NOT NULL),
+local AS (SELECT *, translate(CASE WHEN regexp_matches(b, '^(?i:file):') THEN url_decode(replace(regexp_replace(b, '^(?i:file):(//(?i:localhost)?(/)|)', '\\2'), '+', '%2B')) ELSE b END, chr(92), '/') AS p FROM bare),
+steps AS (SELECT *, list_reduce(list_transform(list_filter(string_split(p, '/'), lambda x: x <> '' AND x <> '.'), lambda x: [x]),
+    lambda acc, x: CASE WHEN x[1] = '..' THEN acc[1:len(acc) - 1] ELSE list_concat(acc, x) END, []::VARCHAR[]) AS walked FROM local),
+rec AS (SELECT id, row_number() OVER (ORDER BY batch, id) AS n, sha, md5, CASE WHEN b <> '' THEN nfc_normalize(CASE WHEN starts_with(p, '/') THEN '/' ELSE '' END || array_to_string(walked, '/')) END AS loc FROM steps),
+near AS (
+    SELECT a.n AS a, r.n AS r FROM rec a JOIN rec r ON a.sha = r.sha AND a.n < r.n
+    UNION SELECT a.n, r.n FROM rec a JOIN rec r ON a.md5 = r.md5 AND a.n < r.n AND (a.sha IS NULL OR r.sha IS NULL)
+    UNION SELECT a.n, r.n FROM rec a JOIN rec r ON a.loc = r.loc AND a.n < r.n AND coalesce(a.sha = r.sha, true) AND coalesce(a.md5 = r.md5, true)),
+go(n, state) USING KEY (n) AS (
+    SELECT n, 0 FROM rec
+    UNION
+    SELECT g.n, CASE WHEN bool_or(coalesce(h.state = 1, false)) THEN 2 ELSE 1 END
+    FROM recurring.go g LEFT JOIN near ON near.r = g.n LEFT JOIN recurring.go h ON h.n = near.a
+    WHERE g.state = 0 GROUP BY g.n HAVING bool_or(coalesce(h.state = 1, false)) OR bool_and(coalesce(h.state = 2, true)))
+SELECT min_by(f.id, f.n) AS first_id, r.id AS again_id
+FROM go JOIN near ON near.r = go.n JOIN go s ON s.n = near.a AND s.state = 1 JOIN rec f ON f.n = near.a JOIN rec r ON r.n = go.n WHERE go.state = 2 GROUP BY r.id"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""
         WITH {_VECTORS},
@@ -43,6 +71,7 @@ SQL: dict[str, str] = {
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY video_hash ORDER BY score DESC, tc, match_id) AS rn FROM once)
         SELECT video_hash, match_id FROM ranked WHERE rn <= 3""",
+    "p4_found": _REPEATS,
     "p5_found": """
         WITH RECURSIVE rows AS (
             SELECT query_path, path, regexp_replace(lower(trim(query_hash, E' \\t\\n\\r')), '^(sha-?256\\s*[:=]\\s*|0x)', '') AS qd,

@@ -66,10 +66,15 @@ class Collections:
         return wanted.groupBy("image_hash").agg(F.min_by("point_id", F.struct("is_reference", "point_id")).alias("point_id"))
 
     def provenance(self, image_hash: str, vectors: tuple[str, ...] = ("dino", "sscd")) -> DataFrame:
-        """Model provenance of one digest's point: columns of the vectors that have any."""
+        """``(point_id, provenance)`` of one digest's first point: vector -> what is stored of its model; vectors without anything are left out."""
         (digest,) = checked_hashes([image_hash])
-        columns = [c for c in self.points.columns if c.startswith(tuple(f"{v}_" for v in vectors))]
-        return self.points.where(F.col("image_hash") == digest).orderBy("is_reference", "point_id").limit(1).select("point_id", *columns)
+        known = self.points
+        stored = {v: [c for c in known.columns if c.startswith(f"{v}_")] for v in vectors}
+        maps = [x for v, columns in stored.items() if columns for x in (F.lit(v), F.map_filter(
+            F.create_map(*[y for c in columns for y in (F.lit(c[len(v) + 1:]), F.col(c).cast("string"))]), lambda _, x: x.isNotNull()))]
+        whole = F.create_map(*maps) if maps else F.create_map().cast("map<string,map<string,string>>")
+        found = known.where(F.col("image_hash") == digest).orderBy("is_reference", "point_id").limit(1)
+        return found.select("point_id", F.map_filter(whole, lambda _, x: F.size(x) > 0).alias("provenance"))
 
     def timeline(self, video_hash: str) -> DataFrame:
         (digest,) = checked_hashes([video_hash])

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def elect_winners(files: DataFrame, digest: str, order: str) -> DataFrame:
+def elect_winners(files: DataFrame, digest: str, order: str, namespace: str | None = None) -> DataFrame:
     """Adds ``winner`` (the first row of each digest) and ``is_dup``; rows without a digest elect nobody.
 
+    With a ``namespace`` column digests are compared within it only: a frame
+    of a video never stands for an image of the same content.
+
     The first is a minimum per digest joined back, not a window: a digest of a
     third of the rows stays a partial aggregate.
     """
-    first = files.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(order).alias("winner"))
-    return files.join(first, digest, "left").withColumn("is_dup", F.coalesce(F.col("winner") != F.col(order), F.lit(False)))
+    by = [digest] if namespace is None else [namespace, digest]
+    first = files.where(F.col(digest).isNotNull()).groupBy(*by).agg(F.min(order).alias("winner"))
+    return files.join(first, by, "left").withColumn("is_dup", F.coalesce(F.col("winner") != F.col(order), F.lit(False)))
 
 
 def not_indexed(files: DataFrame, indexed: DataFrame, mode: str, digest: str = "sha256", path: str = "path") -> DataFrame:

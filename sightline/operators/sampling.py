@@ -1,8 +1,11 @@
 """Sampling of time-ordered frames.
 
-Greedy sampling depends on the frame kept before, so a video's frames are read
-in order by one task; they stream past in Arrow batches and only the hashes of
-the kept frames are held, never the video.
+Greedy sampling depends on the frame kept before.  A video is cut into blocks of
+time that are sampled side by side, each as if nothing came before it; where
+the last pick of the blocks before reaches into a block, that block is sampled
+again from there, until no seam is wrong.  Picks of two starts soon fall
+together, so a second look is mostly the last, and a video of any length is
+never in one task.
 """
 
 from __future__ import annotations
@@ -12,47 +15,90 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from sightline.session import Scratch
+
+# milliseconds of a block at least: it holds no more frames than that; and steps of the sampling in it
+BLOCK_MS, BLOCK_STEPS = 1_000_000, 256
+
+
+def _sampler(step: float) -> Callable:
+    """Picks of ``(video, block, t, h, target)``, sorted by video, block and t: the first frame at or after the target, then a step on."""
 
-def _sampler(interval_ms: float, max_frames: int, seek: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, target, kept, seen = None, 0.0, 0, set()
+        import numpy as np
+
+        group, target = None, 0.0
         for batch in batches:
-            v, t, h = (batch.column(i).to_pylist() for i in range(3))
-            out: list[tuple] = []
-            for name, at, digest in zip(v, t, h):
-                if name != video:
-                    video, target, kept, seen = name, 0.0, 0, set()
-                if at < target or (max_frames > 0 and kept >= max_frames):
-                    continue
-                if digest not in seen:
-                    seen.add(digest)
-                    out.append((name, at, digest, kept))
-                    kept += 1
-                target = max(target, float(at)) + interval_ms if seek else at + interval_ms
-            if out:
-                names = ["video", "timecode_ms", "frame_hash", "frame_index"]
-                yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)},
-                                                 pa.schema([("video", pa.string()), ("timecode_ms", pa.int64()), ("frame_hash", pa.string()), ("frame_index", pa.int32())]))
+            if not batch.num_rows:
+                continue
+            videos, blocks = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            codes = videos.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            t = batch.column(2).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((np.diff(codes, prepend=codes[0]) != 0) | (np.diff(blocks, prepend=blocks[0]) != 0))
+            bounds = [0, *cut.tolist(), len(t)]
+            take = []
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                here = (videos[lo].as_py(), int(blocks[lo]))
+                if here != group:
+                    group, target = here, batch.column(4)[lo].as_py()
+                at = lo + int(np.searchsorted(t[lo:hi], target))
+                while at < hi:
+                    take.append(at)
+                    target = t[at] + step
+                    at = lo + int(np.searchsorted(t[lo:hi], target))
+            if take:
+                yield batch.select([0, 1, 2, 3]).take(pa.array(take))
 
     return run
 
 
-def sample_frames(frames: DataFrame, video: str, timecode: str, digest: str, fps: float, max_frames: int = 0, seek: bool = False) -> DataFrame:
+def _picked(rows: DataFrame, step: float) -> DataFrame:
+    ordered = rows.select("video", "block", "t", "h", "target").repartition("video", "block").sortWithinPartitions("video", "block", "t")
+    return ordered.mapInArrow(_sampler(step), "video string, block long, t long, h string")
+
+
+def sample_frames(frames: DataFrame, video: str, timecode: str, digest: str, fps: float, max_frames: int = 0) -> DataFrame:
     """Kept frames ``(video, timecode_ms, frame_hash, frame_index)``.
 
     The first frame at or after the next target is taken; the target then moves
     ``1/fps`` past it, also where its picture was seen before in the video (such
     a frame is not kept and gets no index).  ``max_frames`` counts kept frames;
-    0 means no limit.  Rows without video or timecode are skipped.
+    0 means no limit.  Rows without video or timecode, or before time 0, are
+    skipped; of several pictures at one time the smallest hash counts.
     """
     if fps <= 0:
         raise ValueError("fps must be positive")
     if max_frames < 0:
         raise ValueError("max_frames must not be negative")
+    scratch, step = Scratch(frames.sparkSession), 1000.0 / fps
+    width = max(BLOCK_MS, int(step * BLOCK_STEPS))
     rows = frames.select(F.col(video).cast("string").alias("video"), F.col(timecode).cast("bigint").alias("t"), F.col(digest).cast("string").alias("h"))
-    rows = rows.where("video is not null and t is not null").repartition("video").sortWithinPartitions("video", "t", "h")
-    return rows.mapInArrow(_sampler(1000.0 / fps, max_frames, seek), "video string, timecode_ms long, frame_hash string, frame_index int")
+    once = rows.where("video is not null and t >= 0").groupBy("video", "t").agg(F.min("h").alias("h")).withColumn("block", F.floor(F.col("t") / width))
+    picks = scratch.write(_picked(once.withColumn("target", F.lit(0.0)), step), "picks")
+    begun = once.select("video", "block").distinct().withColumn("used", F.lit(0.0))
+    before = Window.partitionBy("video").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        ends = picks.groupBy("video", "block").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+        met = begun.join(ends, ["video", "block"], "left").withColumn("target", F.coalesce(F.max("last").over(before) + F.lit(step), F.lit(0.0)))
+        # begun too late, or too early with a pick that the blocks before rule out
+        wrong = (F.col("used") > F.col("target")) | ((F.col("used") < F.col("target")) & F.coalesce(F.col("first") < F.col("target"), F.lit(False)))
+        seams = scratch.write(met.select("video", "block", "used", "target", wrong.alias("wrong")), "seams")
+        late = seams.where("wrong").select("video", "block", "target")
+        if late.isEmpty():
+            break
+        again = _picked(once.join(late, ["video", "block"]), step)
+        picks = scratch.write(picks.join(late.select("video", "block"), ["video", "block"], "left_anti").unionByName(again), "picks")
+        begun = seams.select("video", "block", F.when(F.col("wrong"), F.col("target")).otherwise(F.col("used")).alias("used"))
+    seen = picks.groupBy("video", "h").agg(F.min("t").alias("t")).withColumn("block", F.floor(F.col("t") / width))
+    # numbered in their blocks, which begin where the blocks before end
+    sizes = seen.groupBy("video", "block").agg(F.count("*").alias("n"))
+    base = sizes.select("video", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("video", "block").orderBy("t", "h"))
+    numbered = seen.withColumn("place", inside).join(base, ["video", "block"])
+    kept = numbered.select("video", F.col("t").alias("timecode_ms"), F.col("h").alias("frame_hash"), (F.col("base") + F.col("place") - 1).cast("int").alias("frame_index"))
+    return kept.where(F.col("frame_index") < max_frames) if max_frames else kept
 
 
 def nearest_frame(frames: DataFrame, wanted: DataFrame, video: str, timecode: str, frame_ms: float) -> DataFrame:

@@ -56,6 +56,17 @@ SELECT record_id, CASE WHEN sha256 IS NOT NULL THEN min(record_id) OVER (PARTITI
        sha256 IS NOT NULL AND record_id <> min(record_id) OVER (PARTITION BY sha256) AS is_dup FROM records"""
 
 
+def frame_winners(spark, d):
+    """Frames and images elect their winners apart."""
+    return op.elect_winners(records(spark, d).where("is_frame is not null"), "sha256", "record_id", "is_frame").select("record_id", "is_frame", "winner", "is_dup")
+
+
+QUERIES["frame_winners"] = frame_winners
+SQL["frame_winners"] = f"""WITH {RECORDS}
+SELECT record_id, is_frame, CASE WHEN sha256 IS NOT NULL THEN min(record_id) OVER (PARTITION BY is_frame, sha256) END AS winner,
+       sha256 IS NOT NULL AND record_id <> min(record_id) OVER (PARTITION BY is_frame, sha256) AS is_dup FROM records WHERE is_frame IS NOT NULL"""
+
+
 def dedup_report(spark, d):
     won = op.elect_winners(records(spark, d), "sha256", "record_id")
     state = F.when(F.col("is_dup"), "skipped_dup_batch").otherwise(F.col("status"))

@@ -124,6 +124,21 @@ def expected_hashes(settings: Settings, vectors: set[str]) -> dict[str, str]:
     return found
 
 
+def missing_models(settings: Settings) -> list[str]:
+    """Local model paths that are set but not there: nothing is ever fetched, so these have to be brought first."""
+    if settings.embedding_endpoint:
+        return []
+    return [p for p in (settings.model_semantic, settings.model_copy) if p and not Path(p).exists()]
+
+
+def verified_model(path: str, expected: str) -> str:
+    """The path, if its content has the expected hash; else an error."""
+    found = content_hash(path)
+    if found != expected:
+        raise ValueError(f"{path} has the hash {found}, not {expected}")
+    return path
+
+
 # libraries whose versions are recorded with results
 LIBRARIES = ("pyspark", "pyarrow", "numpy", "pandas", "pillow", "av")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import json
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -85,3 +87,19 @@ def checked_upload(files: DataFrame, size: str, cap: int) -> DataFrame:
 def session_allowed(active: int, cap: int) -> bool:
     """Whether one more session may start; a cap of 0 is none."""
     return cap <= 0 or active < cap
+
+
+_PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title><canvas id="c" width="900" height="900"></canvas><script>
+const points = {points}, c = document.getElementById("c").getContext("2d"); let a = 0.5, b = 0.3;
+function draw() {{ c.clearRect(0, 0, 900, 900); for (const [, x, y, z] of points) {{
+  const u = x * Math.cos(a) + z * Math.sin(a), w = z * Math.cos(a) - x * Math.sin(a), v = y * Math.cos(b) - w * Math.sin(b);
+  c.fillRect(450 + 400 * u, 450 - 400 * v, 3, 3); }} }}
+document.onmousemove = e => {{ if (e.buttons) {{ a += e.movementX / 200; b += e.movementY / 200; draw(); }} }}; draw();
+</script>"""
+
+
+def scatter_page(points: DataFrame, title: str = "points", most: int = 5000) -> str:
+    """A page of its own that shows up to ``most`` points ``(id, x, y, z)``, to be turned with the mouse."""
+    rows = [[r["id"], *(round(float(r[a]), 5) for a in "xyz")] for r in points.limit(most).toLocalIterator()]
+    # a closing tag inside the data must not end the script
+    return _PAGE.format(title=html.escape(title), points=json.dumps(rows).replace("<", "\\u003c"))

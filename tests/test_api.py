@@ -40,7 +40,7 @@ def test_search_and_lookup(spark, collections):
     assert [r[0] for r in collections.timeline(f"{9:064x}").collect()] == [i * 10 for i in range(30, 40)]
     ids = collections.point_ids([f"{1:064x}", f"{1:064x}", f"{77:064x}"]).collect()
     assert [(r["image_hash"], r["point_id"]) for r in ids] == [(f"{1:064x}", 1)]
-    assert collections.provenance(f"{2:064x}").collect()[0]["dino_model_name"] == "m"
+    assert collections.provenance(f"{2:064x}").collect()[0]["provenance"] == {"dino": {"model_name": "m"}}
     assert collections.point(spark.createDataFrame([(101,), (5,)], "point_id long")).count() == 2
     for bad in (["x"], ["0" * 63], [f"{i:064x}" for i in range(257)]):
         with pytest.raises(ValueError):
@@ -96,6 +96,16 @@ def test_tag_calls(spark, collections):
     assert collections.metadata("/p/31.jpg").first()["frame_timecode_ms"] == 310 and collections.frame_metadata(f"{9:064x}", 320).first()["path"] == "/p/32.jpg"
 
 
+def test_models_present(tmp_path):
+    (tmp_path / "w.bin").write_bytes(b"1")
+    here, gone = str(tmp_path / "w.bin"), str(tmp_path / "gone")
+    assert settings.missing_models(settings.Settings(model_semantic=here, model_copy=gone)) == [gone]
+    assert settings.missing_models(settings.Settings(model_copy=gone, embedding_endpoint="http://h", embedding_model="m")) == []
+    assert settings.verified_model(here, settings.content_hash(here)) == here
+    with pytest.raises(ValueError):
+        settings.verified_model(here, "0")
+
+
 def test_example_cache(spark, collections):
     cache = api.ExampleCache(spark, most=2)
     assert cache.examples(collections, 1).count() == 4 and cache.examples(collections, 1) is cache.examples(collections, 1)
@@ -157,6 +167,31 @@ def picture(order, gps=True):
     return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda\x00\x02"
 
 
+def test_exif_detail(spark):
+    def tiff(*entries):
+        body, data, at = b"", b"", 8 + 2 + 12 * len(entries) + 4
+        for tag, kind, value in entries:
+            raw = value if isinstance(value, bytes) else struct.pack("<H", value).ljust(4, b"\0")
+            count = len(raw) if isinstance(value, bytes) else 1
+            if len(raw) > 4:
+                body += struct.pack("<HHII", tag, kind, count, at + len(data))
+                data += raw
+            else:
+                body += struct.pack("<HHI", tag, kind, count) + raw.ljust(4, b"\0")
+        return b"II*\0" + struct.pack("<IH", 8, len(entries)) + body + struct.pack("<I", 0) + data
+
+    whole = tiff((256, 3, 640), (257, 3, 480), (271, 2, b"Maker Inc\0"), (exif.ORIENTATION, 3, 6), (306, 2, b"2024:01:02 03:04:05\0"))
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 7, 9)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 30, 20) + b"\x03"
+    data = [(0, whole), (1, png), (2, jpeg), (3, b"junk"), (4, None), (5, whole[:30]), (6, b"BM" + b"\0" * 16 + struct.pack("<ii", 5, -6)), (7, b"GIF89a" + struct.pack("<HH", 3, 4))]
+    got = {r["i"]: r["d"].asDict() for r in spark.createDataFrame(data, "i int, content binary").select("i", exif.exif_detail("content").alias("d")).collect()}
+    shape = lambda i: (got[i]["format"], got[i]["width"], got[i]["height"])
+    assert [shape(i) for i in (0, 1, 2, 3, 6, 7)] == [("TIFF", 640, 480), ("PNG", 7, 9), ("JPEG", 20, 30), ("", None, None), ("BMP", 5, 6), ("GIF", 3, 4)]
+    assert (got[0]["make"], got[0]["datetime"], got[0]["model"], got[0]["exif"], got[0]["size_bytes"]) == ("Maker Inc", "2024:01:02 03:04:05", None, True, len(whole))
+    assert got[4]["size_bytes"] is None and got[5]["make"] is None
+    assert exif.orientation(whole) == 6 and exif.orientation(b"junk") == exif.orientation(None) == 1
+
+
 def test_exif(spark):
     data = [(0, picture(b"II")), (1, picture(b"MM")), (2, picture(b"II", False)), (3, picture(b"II")[:40]), (4, b""), (5, None), (6, b"\xff\xd8junk"), (7, b"\x89PNG\r\n\x1a\n")]
     got = {r["i"]: tuple(r["e"]) for r in spark.createDataFrame(data, "i int, content binary").select("i", exif.exif("content").alias("e")).collect()}

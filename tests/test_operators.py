@@ -154,7 +154,7 @@ def test_probe_stops(spark):
     assert {r["run"]: (r["ord"], r["reason"]) for r in stats.probe_stops(df, ["run"]).collect()} == {"sat": (2, "saturated"), "decay": (4, "decayed"), "settle": (4, "settled")}
 
 
-def greedy(frames, step, cap, seek):
+def greedy(frames, step, cap):
     kept, target, seen = [], 0.0, set()
     for t, h in sorted(frames):
         if t < target or (cap and len(kept) >= cap):
@@ -162,19 +162,22 @@ def greedy(frames, step, cap, seek):
         if h not in seen:
             seen.add(h)
             kept.append((t, len(kept)))
-        target = max(target, t) + step if seek else t + step
+        target = t + step
     return kept
 
 
-@pytest.mark.parametrize("seek", [False, True])
-def test_sampling(spark, seek):
+@pytest.mark.parametrize("block", [1_000_000, 700])
+def test_sampling(spark, monkeypatch, block):
+    # small blocks: a video is cut and its seams are mended
+    monkeypatch.setattr(sampling, "BLOCK_MS", block)
+    monkeypatch.setattr(sampling, "BLOCK_STEPS", 1)
     rng = random.Random(2)
     videos = {f"v{i}": [(rng.randrange(0, 20_000), rng.choice("abcdefghijkl")) for _ in range(rng.randrange(0, 120))] for i in range(12)}
     df = spark.createDataFrame([(v, t, h) for v, fs in videos.items() for t, h in fs] + [(None, 1, "a"), ("v0", None, "a")], "video string, t long, h string")
     got = {}
-    for r in sampling.sample_frames(df, "video", "t", "h", 2.0, 8, seek).collect():
+    for r in sampling.sample_frames(df, "video", "t", "h", 2.0, 8).collect():
         got.setdefault(r["video"], []).append((r["timecode_ms"], r["frame_index"]))
-    assert got == {v: greedy(fs, 500.0, 8, seek) for v, fs in videos.items() if fs}
+    assert {v: sorted(x) for v, x in got.items()} == {v: greedy(fs, 500.0, 8) for v, fs in videos.items() if fs}
     for bad in ((0, 1), (1, -1)):
         with pytest.raises(ValueError):
             sampling.sample_frames(df, "video", "t", "h", *bad)

@@ -20,7 +20,7 @@ def _first_n(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        group, passed = None, []
+        group, passed = None, set()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -33,16 +33,16 @@ def _first_n(n: int):
             if keys[0].as_py() == group:
                 starts = starts[1:]
             else:
-                group, passed = keys[0].as_py(), []
+                group, passed = keys[0].as_py(), set()
             take: list[int] = []
             bounds = [0, *[int(s) for s in starts if s > 0], rows]
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 if lo:
-                    group, passed = keys[lo].as_py(), []
+                    group, passed = keys[lo].as_py(), set()
                 at = lo
                 while at < hi and len(passed) < n:
                     if ids[at] not in passed:
-                        passed.append(ids[at])
+                        passed.add(ids[at])
                         take.append(at)
                     at += 1
             if take:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.exif import orientation
+from sightline.functions.media import CROP_SIDE, RESIZE_SIDE
 
 
 @dataclass
@@ -251,13 +252,32 @@ def extracted(videos: DataFrame, path: str, fps: float, max_frames: int = 0, mak
 
 
 def scaled(picture: Picture, side: int) -> Picture:
-    """The picture with its longer side at ``side`` at most, by its nearest pixels."""
+    """The picture with its longer side at ``side`` at most."""
+    scale = min(1.0, side / max(picture.width, picture.height))
+    return resized(picture, max(1, int(picture.width * scale)), max(1, int(picture.height * scale)))
+
+
+def resized(picture: Picture, width: int, height: int) -> Picture:
+    """The picture at another size, by its nearest pixels."""
     import numpy as np
 
-    scale = min(1.0, side / max(picture.width, picture.height))
-    w, h = max(1, int(picture.width * scale)), max(1, int(picture.height * scale))
     a = np.frombuffer(picture.rgb, np.uint8).reshape(picture.height, picture.width, 3)
-    return Picture(w, h, np.ascontiguousarray(a[(np.arange(h) * picture.height // h)[:, None], np.arange(w) * picture.width // w]).tobytes())
+    rows, columns = np.arange(height) * picture.height // height, np.arange(width) * picture.width // width
+    return Picture(width, height, np.ascontiguousarray(a[rows[:, None], columns]).tobytes())
+
+
+def cropped(picture: Picture, crops: int = 5, short: int = RESIZE_SIDE, side: int = CROP_SIDE) -> list[Picture]:
+    """The centre square, then the four corners, of the picture with its shorter side at ``short``."""
+    import numpy as np
+
+    least = min(picture.width, picture.height)
+    # round() takes halves to the even neighbour, as the column expression of this size does
+    width, height = (short if x == least else round(x * short / least) for x in (picture.width, picture.height))
+    whole = resized(picture, width, height)
+    a = np.frombuffer(whole.rgb, np.uint8).reshape(height, width, 3)
+    right, low = width - side, height - side
+    corners = [(right // 2, low // 2), (0, 0), (right, 0), (0, low), (right, low)][: 1 if crops == 1 else 5]
+    return [Picture(side, side, np.ascontiguousarray(a[y:y + side, x:x + side]).tobytes()) for x, y in corners]
 
 
 def netpbm(picture: Picture) -> bytes:

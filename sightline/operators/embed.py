@@ -87,6 +87,39 @@ def embedded(files: DataFrame, content: str, make: Callable[[], Embedder]) -> Da
     return files.withColumn("_e", run(F.col(content))).select(*files.columns, "_e.vector", "_e.embed_error")
 
 
+class CropEmbedder:
+    """Mean of the unit vectors of a picture's crops, at length one: around any model that takes crops.
+
+    A picture is decoded, its shorter side brought to the fixed length, and cut
+    into the centre crop or the centre and the corners.
+    """
+
+    def __init__(self, inner: Embedder, crops: int = 5, decoder: Callable | None = None):
+        if crops not in (1, 5):
+            raise ValueError("crops must be 1 or 5")
+        from sightline.operators.decode import NetpbmDecoder
+
+        self.inner, self.crops, self.decoder = inner, crops, (decoder or NetpbmDecoder)()
+        self.name, self.dim = inner.name, inner.dim
+
+    def identity(self) -> str:
+        return self.inner.identity()
+
+    def embed(self, contents: list[bytes]) -> list[list[float]]:
+        import numpy as np
+
+        from sightline.operators.decode import cropped, netpbm
+
+        parts = [[netpbm(c) for c in cropped(self.decoder.decode(content), self.crops)] for content in contents]
+        vectors = iter(self.inner.embed([c for p in parts for c in p]))
+        out = []
+        for p in parts:
+            v = np.array([next(vectors) for _ in p], np.float64)
+            mean = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).mean(0)
+            out.append((mean / max(np.linalg.norm(mean), 1e-12)).astype("float32").tolist())
+        return out
+
+
 def checked_response(data: list[dict], count: int, dim: int) -> list[list[float]]:
     """Vectors of a remote answer in request order; a missing, repeated or misshaped item is an error."""
     by_index: dict[int, list[float]] = {}

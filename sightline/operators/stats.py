@@ -39,15 +39,16 @@ def histogram(scored: DataFrame, keys: list[str], score: str) -> DataFrame:
     return grid.join(counts, [*keys, "bucket"], "left").select(*keys, "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def saturation_fit(probes: DataFrame) -> DataFrame:
-    """Fit ``T(b) = tmax * b / (k + b)`` by least squares on (b, b/T), and the batch for 95 % of it."""
-    fit = probes.agg(F.regr_slope(F.col("b") / F.col("t"), F.col("b")).alias("a"), F.regr_intercept(F.col("b") / F.col("t"), F.col("b")).alias("c"),
+def saturation_fit(probes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per key, fit ``T(b) = tmax * b / (k + b)`` by least squares on (b, b/T), and the batch for 95 % of it."""
+    keys = keys or []
+    fit = probes.groupBy(*keys).agg(F.regr_slope(F.col("b") / F.col("t"), F.col("b")).alias("a"), F.regr_intercept(F.col("b") / F.col("t"), F.col("b")).alias("c"),
                      F.max("b").alias("max_b"), F.max_by("b", "t").alias("best_b"), F.count("*").alias("n"))
     good = (F.col("n") >= 2) & (F.col("a") > 0)
     k = F.greatest(F.col("c") / F.col("a"), F.lit(0.0))
     star = F.when(good, k * EFFICIENCY / (1 - EFFICIENCY)).otherwise(0.0)
     power = F.pow(F.lit(2.0), F.floor(F.log2(F.least(star, F.col("max_b").cast("double"))))).cast("bigint")
-    return fit.select(F.when(good, 1 / F.col("a")).alias("t_max"), F.when(good, k).alias("k_half"), star.alias("b_star"),
+    return fit.select(*keys, F.when(good, 1 / F.col("a")).alias("t_max"), F.when(good, k).alias("k_half"), star.alias("b_star"),
                       F.when(star >= 1, power).otherwise(F.col("best_b").cast("bigint")).alias("batch"))
 
 

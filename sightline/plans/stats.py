@@ -58,15 +58,15 @@ SELECT q.query_id, g.bucket, coalesce(n, 0) AS n FROM (SELECT DISTINCT query_id
 
 def _probes(spark, d):
     """Throughput by batch size: order counts and values of the parts."""
-    li = table(spark, d, "lineitem").groupBy(F.pow(F.lit(2.0), F.col("l_linenumber")).cast("int").alias("b")).agg(F.avg("l_quantity").alias("q"))
-    return li.select("b", (F.lit(100.0) * F.col("b") / (F.lit(20.0) + F.col("b")) + F.col("q") / 100).alias("t"))
+    li = table(spark, d, "lineitem").groupBy("l_returnflag", F.pow(F.lit(2.0), F.col("l_linenumber")).cast("int").alias("b")).agg(F.avg("l_quantity").alias("q"))
+    return li.select("l_returnflag", "b", (F.lit(100.0) * F.col("b") / (F.lit(20.0) + F.col("b")) + F.col("q") / 100).alias("t"))
 
 
-_PROBES = "probes AS (SELECT b, 100.0::DOUBLE * b / (20.0::DOUBLE + b) + q / 100 AS t FROM (SELECT pow(2, l_linenumber)::INT AS b, avg(l_quantity) AS q FROM lineitem GROUP BY 1))"
-QUERIES["saturation_fit"] = lambda spark, d: op.saturation_fit(_probes(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("t_max", "k_half", "b_star")], "batch")
-SQL["saturation_fit"] = f"""WITH {_PROBES}, f AS (SELECT regr_slope(b / t, b) AS a, regr_intercept(b / t, b) AS c, max(b) AS mb, arg_max(b, t) AS bb FROM probes),
-g AS (SELECT 1 / a AS t_max, greatest(c / a, 0) AS k_half, greatest(c / a, 0) * 0.95 / (1 - 0.95) AS b_star, mb, bb FROM f)
-SELECT round(t_max, 6) AS t_max, round(k_half, 6) AS k_half, round(b_star, 6) AS b_star,
+_PROBES = "probes AS (SELECT l_returnflag, b, 100.0::DOUBLE * b / (20.0::DOUBLE + b) + q / 100 AS t FROM (SELECT l_returnflag, pow(2, l_linenumber)::INT AS b, avg(l_quantity) AS q FROM lineitem GROUP BY ALL))"
+QUERIES["saturation_fit"] = lambda spark, d: op.saturation_fit(_probes(spark, d), ["l_returnflag"]).select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("t_max", "k_half", "b_star")], "batch")
+SQL["saturation_fit"] = f"""WITH {_PROBES}, f AS (SELECT l_returnflag, regr_slope(b / t, b) AS a, regr_intercept(b / t, b) AS c, max(b) AS mb, arg_max(b, t) AS bb FROM probes GROUP BY l_returnflag),
+g AS (SELECT l_returnflag, 1 / a AS t_max, greatest(c / a, 0) AS k_half, greatest(c / a, 0) * 0.95 / (1 - 0.95) AS b_star, mb, bb FROM f)
+SELECT l_returnflag, round(t_max, 6) AS t_max, round(k_half, 6) AS k_half, round(b_star, 6) AS b_star,
     CASE WHEN b_star >= 1 THEN pow(2, floor(log2(least(b_star, mb))))::BIGINT ELSE bb::BIGINT END AS batch FROM g"""
 
 
@@ -160,12 +160,12 @@ SELECT video, target_ms, CASE WHEN here > 61000 AND before IS NOT NULL THEN befo
 
 def idle_sessions(spark, d):
     e = table(spark, d, "events")
-    now = F.lit("2024-01-29 00:00:00").cast("timestamp")
+    now = F.lit("2024-01-30 18:00:00").cast("timestamp")
     return sampling.idle_sessions(e, "user_id", "ts", now, 3600)
 
 
 QUERIES["idle_sessions"] = idle_sessions
-SQL["idle_sessions"] = "SELECT user_id, max(ts) AS last_access FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING TIMESTAMP '2024-01-29 00:00:00' - max(ts)::TIMESTAMP > INTERVAL 3600 SECOND"
+SQL["idle_sessions"] = "SELECT user_id, max(ts) AS last_access FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING TIMESTAMP '2024-01-30 18:00:00' - max(ts)::TIMESTAMP > INTERVAL 3600 SECOND"
 
 
 def geometry(spark, d):

@@ -116,7 +116,7 @@ def score_map() -> F.Column:
 
 TAG_ROWS = [
     (1, "boats", [0, 1, 2, 3], [10, 11, 12], None, ""), (2, "rooms", [4, 5], [], None, ""), (3, "benign", [], [20, 21], None, ""),
-    (4, "wide", list(range(30, 40)), list(range(50, 60)), 31, ""), (5, "lost", [6], [900_000_001], None, ""), (6, "aimed", [7, 8], [9], 15, ""),
+    (4, "wide", list(range(30, 40)), list(range(50, 60)), 31, ""), (5, "lost", [6, 900_000_002], [900_000_001, 900_000_003], None, ""), (6, "aimed", [7, 8], [9], 15, ""),
 ]
 
 

@@ -4,7 +4,7 @@ import struct
 import numpy as np
 import pytest
 
-from sightline.operators import decode
+from sightline.operators import decode, embed
 from sightline.sources import files
 
 
@@ -76,3 +76,19 @@ def test_thumbnails(spark, tmp_path):
 def test_page(spark):
     page = files.scatter_page(spark.createDataFrame([("</script>", 0.5, -0.25, 1.0)], "id string, x double, y double, z double"), "<t>")
     assert "&lt;t&gt;" in page and page.count("</script>") == 1 and "[0.5, -0.25, 1.0]" not in page and "0.5, -0.25, 1.0]" in page
+
+
+def test_crops():
+    rng = np.random.default_rng(0)
+    p = decode.Picture(500, 331, rng.integers(0, 256, 331 * 500 * 3, dtype=np.uint8).tobytes())
+    a = np.frombuffer(p.rgb, np.uint8).reshape(331, 500, 3)
+    five = decode.cropped(p)
+    assert [np.frombuffer(c.rgb, np.uint8).reshape(288, 288, 3).tolist() == a[y:y + 288, x:x + 288].tolist() for c, (x, y) in zip(five, [(106, 21), (0, 0), (212, 0), (0, 43), (212, 43)])] == [True] * 5
+    assert (decode.resized(p, 10, 7).width, len(decode.cropped(p, 1))) == (10, 1)
+    inner = embed.HashEmbedder(8)
+    (mean,) = embed.CropEmbedder(inner).embed([decode.netpbm(p)])
+    parts = np.array(inner.embed([decode.netpbm(c) for c in five]), np.float64).mean(0)
+    assert np.allclose(mean, parts / np.linalg.norm(parts), atol=1e-6)
+    assert np.allclose(embed.CropEmbedder(inner, 1).embed([decode.netpbm(p)])[0], inner.embed([decode.netpbm(five[0])])[0], atol=1e-6)
+    with pytest.raises(ValueError):
+        embed.CropEmbedder(inner, 3)

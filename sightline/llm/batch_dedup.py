@@ -151,9 +151,10 @@ class HashForest:
                     if tops is not None:
                         part_of_run = part_of_run.where(F.col("top").isin(sorted({t >> (most - run["bits"]) for t in tops})))
                 parts.append(part_of_run.drop("top"))
-            entry = F.broadcast(signatures.where(inside).select("id", "hi", "lo", "apart"))
-            met = reduce(DataFrame.union, parts).join(entry, ["hi", "lo"]).select("id", _earliest().alias("first"))
-            found.append(met.where("first is not null"))
+            # met by the leading 64 bits, one number a key keeps the broadcast table small; the other 64 verify
+            entry = F.broadcast(signatures.where(inside).select("id", F.col("hi").alias("key"), F.col("lo").alias("rest"), "apart"))
+            met = reduce(DataFrame.union, parts).join(entry, (F.col("hi") == F.col("key")) & (F.col("lo").bitwiseXOR(F.col("rest")) == 0))
+            found.append(met.select("id", _earliest().alias("first")).where("first is not null"))
         return reduce(DataFrame.union, found).groupBy("id").agg(F.min("first").alias("first"))
 
     def add(self, signatures: DataFrame, entries: int, batch) -> None:
@@ -239,7 +240,12 @@ def repeated_records(records: DataFrame, forest: HashForest | None = None) -> Da
     spread = F.pmod(F.xxhash64("id"), F.lit(8))
     clean = scratch.write(clean_records(records).repartition("batch_no", spread), "clean", "batch_no")
     numbers = sorted((r["batch_no"], r["n"]) for r in clean.groupBy("batch_no").agg(F.count("*").alias("n")).collect())
-    found = [admit(forest, clean.where(F.col("batch_no") == number).drop("batch_no"), number, rows) for number, rows in numbers]
+    found = []
+    for at, (number, rows) in enumerate(numbers):
+        found.append(admit(forest, clean.where(F.col("batch_no") == number).drop("batch_no"), number, rows))
+        if at % MERGE_RUNS == MERGE_RUNS - 1:
+            # broadcast tables and shuffle files of the batches before go when the driver collects its garbage
+            spark.sparkContext._jvm.System.gc()
     if not found:
         return spark.createDataFrame([], "first_id long, again_id long")
     return reduce(DataFrame.union, found)
